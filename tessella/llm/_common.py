@@ -79,3 +79,14 @@ def map_columns(df: DataFrame, function: Callable[[dict], dict], schema: str) ->
 def crc_fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow that keeps the schema: for stages that drop or rewrite whole rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield function(batch)
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
