@@ -151,6 +151,7 @@ class Codec:
         if not self.separable:
             return self.peer.encode(chunks, num_threads=1)
         whole = self.peer.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
+        whole = [ids if c != MARK else [self.bare_prefix] for c, ids in zip(chunks, whole)]  # a prefix by itself
         return [ids if c[0] == MARK else ids[1:] if ids[:1] == [self.bare_prefix] else [-1] for c, ids in zip(chunks, whole)]
 
     def learn(self, wanted: set[str]) -> None:
