@@ -472,3 +472,66 @@ def q_scalar_maths(spark, d):
 @query("SELECT i AS step, 255::BIGINT AS r, 128::BIGINT AS g, 0::BIGINT AS b, round(i / 255, 6) AS a FROM (SELECT unnest(range(256)) AS i)")
 def q_colour_ramp(spark, d):
     return S.transparent_ramp(spark, (255, 128, 0)).select("step", "r", "g", "b", r6("a"))
+
+
+# ---- no SQL: iterative or geometric algorithms, tested against brute force
+
+@query()
+def q_feature_linkage(spark, d):
+    from ..operators.cluster import FeatureClusters
+
+    return FeatureClusters(threshold=0.9).fit(iou(spark, A.strict_set(activations(spark, d)))).clusters()
+
+
+@query()
+def q_kmeans_frequency_ranked(spark, d):
+    from ..operators.cluster import FrequencyRankedKMeans
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_idx"), F.col("embedding").cast("array<double>").alias("vec"))
+    return FrequencyRankedKMeans(k=10).fit(rows).transform(rows).select("row_idx", "label")
+
+
+@query()
+def q_linear_interpolation(spark, d):
+    from ..operators.adaptive import interpolate_linear
+
+    return interpolate_linear(seeds(spark).withColumn("image", F.lit("a")), 40, 40)
+
+
+@query()
+def q_mask_polygons(spark, d):
+    from ..operators.adaptive import mask_polygons
+
+    raster = R.filled_polygons(spark, [(1, [(2, 2), (18, 2), (18, 30), (2, 30)]), (2, [(10, 5), (25, 5), (25, 20), (10, 20)])], 40, 40)
+    return mask_polygons(raster.withColumn("image", F.lit("a")))
+
+
+@query()
+def q_cleaned_mask(spark, d):
+    from ..operators.adaptive import cleaned_mask
+
+    return cleaned_mask(pixels(spark, d).select(F.lit("a").alias("image"), "y", "x", (F.col("v") > 300).cast("long").alias("v")), 4)
+
+
+@query()
+def q_sae_fit_transform(spark, d):
+    from ..operators.autoencoder import SparseAutoencoder
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_idx"), F.col("embedding").alias("vec"))
+    return SparseAutoencoder(expansion=2, steps=100, rate=1e-3, target=0.05).fit(rows).transform(rows)
+
+
+@query()
+def q_embed_patches(spark, d):
+    from ..operators.autoencoder import embed_patches, hash_embedder
+
+    return embed_patches(table(spark, d, "embeddings").select(F.col("vec_id").alias("row_idx"), F.col("vec_id").cast("string").alias("data")), hash_embedder(16))
+
+
+@query()
+def q_token_clusters(spark, d):
+    from ..operators.cluster import FrequencyRankedKMeans, TokenClusters
+
+    rows = table(spark, d, "embeddings").select((F.col("vec_id") / 25).cast("long").alias("row_idx"), (F.col("vec_id") % 25).alias("position"), F.col("embedding").cast("array<double>").alias("vec"))
+    model = FrequencyRankedKMeans(k=10, normalise=False, centroids=centroids(spark, d))
+    return TokenClusters(model, grid=5).fit(rows, F.col("row_idx") % 2 == 0).maps(rows)
