@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import WHITESPACE, documents, map_columns, release_shuffles, small_batches, stage
@@ -144,15 +144,19 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: documents without the rows that exact_dedup drops; columns as they came."""
+    """Pipeline stage: documents without the rows that exact_dedup drops; columns as they came.
+
+    Of equal texts with one id the row with the most code points stays.
+    """
     verdicts = stage(exact_dedup(docs), "dedup-verdicts")
     gone = verdicts.where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary"), 256)
     left = docs.withColumn("__text_sha", sha)
     kept = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__text_sha") == F.col("__sha")), "left_anti")
     repeated = verdicts.where("NOT kept AND doc_id <=> keep_id").limit(1).count()
-    if repeated:  # whole rows that occur again
-        kept = kept.dropDuplicates(["doc_id", "__text_sha"])
+    if repeated:  # equal texts with one id; the limit by group is taken before the shuffle
+        longest = Window.partitionBy("doc_id", "__text_sha").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc())
+        kept = kept.withColumn("__k", F.row_number().over(longest)).where("__k = 1").drop("__k")
     return kept.drop("__text_sha")
 
 

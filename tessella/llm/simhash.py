@@ -19,6 +19,7 @@ a component's name unless all its ids are null; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,15 +54,19 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
     return int.from_bytes(bits.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, print: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
+    """doc_id, print (the fingerprint as a signed long) and, with ``digests``, the text's SHA-256."""
 
     def batch(columns: dict) -> dict:
         prints = np.array([fingerprint(t) for t in columns["text"]], dtype=np.uint64).view(np.int64)
-        return {"doc_id": columns["doc_id"], "print": prints}
+        out = {"doc_id": columns["doc_id"], "print": prints}
+        if digests:
+            out["text_sha256"] = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in columns["text"]]
+        return out
 
     small_batches(docs.sparkSession)
-    return map_columns(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), batch, "doc_id long, print long")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return map_columns(rows, batch, "doc_id long, print long" + ", text_sha256 string" * digests)
 
 
 class Golay:
@@ -233,28 +238,44 @@ def print_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     return found.where("key IS NULL").select("a", "b").unionByName(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
-    rows = stage(fingerprints(docs, id_column, text_column), "simhash-prints")
-    classes = stage(rows.groupBy("print").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+def named_rows(rows: DataFrame, name, distance: int, block: int) -> DataFrame:
+    """``rows`` (with print) and ``first``: the smallest ``name``, an aggregate over rows, of each row's component."""
+    spark = rows.sparkSession
+    classes = stage(rows.groupBy("print").agg(name.alias("first")), "simhash-classes")
     labels = connected_components(print_links(classes, distance, block))
     release_shuffles(spark)
     linked = classes.join(labels.withColumnRenamed("node", "print"), "print")
-    names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(names, "root").select("print", "component_id")
-    named = classes.join(linked, "print", "left").select("print", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("print", "least")
+    named = classes.join(linked, "print", "left").select("print", F.coalesce("least", "first").alias("first"))
     small_batches(spark)
-    return rows.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "print")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable by links)."""
+    rows = stage(fingerprints(docs, id_column, text_column), "simhash-prints")
+    named = named_rows(rows, F.min("doc_id"), distance, block)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: of each component the document named by it stays; columns as they came.
+    """Pipeline stage: of each component one document stays, the one with the smallest id; columns as they came.
 
-    Links here follow shingles of four words and four bits, as the operator's contract has them.
+    Links here follow shingles of four words and four bits, as the operator's contract has them. Documents are
+    told apart by id and text, so rows that share an id, or have none, are judged each by its own component:
+    null ids come after all others, equal ids are ordered by the text's SHA-256, and of repeated rows one stays.
     """
-    gone = near_duplicates(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stage(gone, "simhash-gone"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    rows = stage(fingerprints(docs, digests=True), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    named = named_rows(rows, F.min(order), DISTANCE, BLOCK)
+    named = stage(named.select("doc_id", "text_sha256", order.eqNullSafe(F.col("first")).alias("stays")), "simhash-named")
+    gone = named.where("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    left = docs.withColumn("__sha", digest)
+    kept = left.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
+    if named.where("stays").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__sha"])
+    return kept.drop("__sha")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,22 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     left = simhash.drop_near_copies(spark, docs.dropDuplicates(["doc_id"]))
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(names.values()))
+
+
+def test_near_copies_with_shared_and_missing_ids(spark):
+    """Rows that share an id, or have none, are judged by their own text."""
+    copy, alone, other = "a b c d e f g h", "nothing like it at all in here", "some third text of its own"
+    rows = [(3, copy), (7, copy), (7, alone), (None, copy), (None, other), (None, other), (9, "x"), (9, "x"), (11, None)]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, first string")
+    left = simhash.drop_near_copies(spark, docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(3, copy), (7, alone), (None, other), (9, "x"), (11, None)], key=str)
+    assert simhash.drop_near_copies(spark, docs.limit(0)).count() == 0
+
+
+def test_exact_copies_with_one_id(spark):
+    """The longest text stays, not any."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a  b"), (1, "ab"), (2, "c"), (2, "c"), (None, "d"), (None, "d ")], "doc_id long, text string")
+    left = exact_dedup.drop_exact_copies(spark, docs)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, "a  b"), (2, "c"), (None, "d ")], key=str)
