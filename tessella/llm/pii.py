@@ -2,10 +2,11 @@
 
 The base patterns of the contract come first and their spans stay. The field is trained on the driver from a
 small labelled table (made below from templates by a fixed seed) by gradient ascent on the exact conditional
-likelihood, forward-backward in numpy. Decoding is Viterbi over numpy batches of windows of words, each
-with some words of context on either side, so texts of any length are decoded whole in bounded memory. A word's
-features depend on its shape, so distinct feature sets are few and their scores are looked up. In what the
-field labels, forms of the kind are kept where no base span overlaps them.
+likelihood, forward-backward in numpy. Decoding is Viterbi in numpy batches and gives the best path of the whole
+text: words that are 'other' on every best path, by a bound on moves, part it into runs that are decoded side by
+side, and a long run is decoded by blocks whose totals are joined exactly. A word's features depend on its shape,
+so distinct feature sets are few and their scores are looked up. In what the field labels, forms of the kind are
+kept where no base span overlaps them.
 
 One scan, no shuffle; all patterns take linear time on long runs.
 
@@ -28,7 +29,8 @@ from ._common import documents, map_columns, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-CORE, CONTEXT = 96, 8
+#: Words of a block of a long run (a power of two), and of the runs that are decoded at once.
+BLOCK, STEP = 64, 1 << 18
 CACHE_ENTRIES = 200_000
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -235,12 +237,10 @@ class Field:
         out[:-1] += self.scores[2][numbers[1:]]
         return out
 
-    def viterbi(self, scores: np.ndarray) -> np.ndarray:
-        """Best labels of (windows, words, labels) scores, all windows side by side."""
-        b, t, k = scores.shape
-        by_label = np.ascontiguousarray(scores.transpose(1, 2, 0))  # whole arrays for each label: no short axes
+    def forward(self, scores: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Back pointers and best totals by last label, from (words, labels, sequences) scores and first totals."""
+        t, k, b = scores.shape
         back = np.zeros((t, k, b), dtype=np.int8)
-        best = by_label[0].copy()
         for i in range(1, t):
             new = np.empty_like(best)
             for j in range(k):
@@ -251,49 +251,107 @@ class Field:
                     back[i, j][better] = m
                     np.maximum(top, other, out=top)
                 new[j] = top
-            best = new + by_label[i]
+            best = new + scores[i]
+        return back, best
+
+    @staticmethod
+    def backward(back: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(sequences, words) labels that end in ``last``."""
+        t, _, b = back.shape
         labels = np.zeros((b, t), dtype=np.int8)
-        labels[:, -1] = best.argmax(axis=0)
+        labels[:, -1] = last
         rows = np.arange(b)
         for i in range(t - 1, 0, -1):
             labels[:, i - 1] = back[i, labels[:, i], rows]
         return labels
 
+    def viterbi(self, scores: np.ndarray) -> np.ndarray:
+        """Best labels of (sequences, words, labels) scores, all sequences side by side."""
+        by_label = np.ascontiguousarray(scores.transpose(1, 2, 0))  # whole arrays for each label: no short axes
+        back, best = self.forward(by_label, by_label[0].copy())
+        return self.backward(back, best.argmax(axis=0))
+
+    def viterbi_long(self, scores: np.ndarray) -> np.ndarray:
+        """Best labels of one long sequence: blocks step side by side from every label that may stand before them.
+
+        The number of words is a multiple of ``BLOCK``. A block's best totals by (label before, last label) join
+        to the next block's as matrices do, so the result is the best path of the whole.
+        """
+        k = scores.shape[1]
+        blocks = np.ascontiguousarray(scores.reshape(-1, BLOCK, k).transpose(1, 2, 0))  # (words, labels, blocks)
+        n = blocks.shape[2]
+        runs = [self.forward(blocks, blocks[0] + self.moves[before][:, None]) for before in range(k)]
+        best = self.forward(blocks[:, :, :1], blocks[0, :, :1])[1][:, 0]
+        came = np.zeros((n, k), dtype=np.int8)
+        for i in range(1, n):
+            total = np.stack([best[before] + runs[before][1][:, i] for before in range(k)])
+            came[i], best = total.argmax(axis=0), total.max(axis=0)
+            best = best - best.max()
+        last = np.zeros(n, dtype=np.int8)
+        last[-1] = best.argmax()
+        for i in range(n - 1, 0, -1):
+            last[i - 1] = came[i, last[i]]
+        labels = np.zeros((n, BLOCK), dtype=np.int8)
+        before = np.r_[0, last[:-1]]
+        for label in range(k):
+            mine = np.flatnonzero(before == label)
+            if len(mine):
+                labels[mine] = self.backward(runs[label][0][:, :, mine], last[mine])
+        first = self.forward(blocks[:, :, :1], blocks[0, :, :1])[0]
+        labels[0] = self.backward(first, last[:1])[0]
+        return labels.reshape(-1)
+
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Label numbers of the words of each text."""
+        """Label numbers of the words of each text, on the best path of the whole text."""
         sizes = [len(t) for t in texts]
-        # texts stand apart by a window's context of empty words
-        parts: list[np.ndarray] = []
-        gap = np.full(CONTEXT, self.empty)
+        gap = np.full(1, self.empty)  # texts stand apart by an empty word
+        parts = [gap]
         for t in texts:
             parts += [self.numbers(t), gap]
-        numbers = np.concatenate([gap, *parts]) if parts else gap
+        numbers = np.concatenate(parts)
         scores = self.emissions(numbers)
         labels = np.zeros(len(numbers), dtype=np.int8)
-        step = 2048 * CORE
-        # what 'other' can lose in moves against another label, whatever stands beside it
+        wall = np.zeros(len(numbers), dtype=bool)
+        wall[np.r_[0, np.cumsum(np.array(sizes, dtype=np.int64) + 1)]] = True
+        # what 'other' can lose in moves against another label, whatever stands beside it or if nothing does
         moves = self.moves
-        loss = (moves - moves[:, :1]).max(axis=0) + (moves - moves[:1]).max(axis=1)
-        quiet, bound = (scores[:, :1] - scores[:, 1:] - loss[1:]).min(axis=1), 1e-3
-        # a word whose lead is over the bound is 'other' on every best path: windows of such words need no decoding
-        for at in range(0, len(numbers), step):
-            starts = np.arange(at, min(at + step, len(numbers)), CORE)
-            index = starts[:, None] + np.arange(-CONTEXT, CORE + CONTEXT)[None, :]
-            inside = (index >= 0) & (index < len(numbers))
-            index = np.clip(index, 0, len(numbers) - 1)
-            open_ = (quiet[index] <= bound).any(axis=1)
-            if open_.any():
-                window = np.where(inside[open_][:, :, None], scores[index[open_]], np.float32(0))
-                core = self.viterbi(window)[:, CONTEXT : CONTEXT + CORE]
-                place = starts[open_][:, None] + np.arange(CORE)[None, :]
-                good = place < len(numbers)
-                labels[place[good]] = core[good]
-        out, at = [], CONTEXT
+        loss = np.maximum((moves - moves[:, :1]).max(axis=0), 0) + np.maximum((moves - moves[:1]).max(axis=1), 0)
+        # a word whose lead is over that is 'other' on every best path: such words part the text into runs that are decoded by themselves
+        lead = (scores[:, :1] - scores[:, 1:] - loss[1:]).min(axis=1)
+        opened = (lead <= 1e-3) & ~wall
+        edges = np.flatnonzero(np.diff(np.r_[False, opened, False]))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            scores[starts] += np.where(wall[starts - 1], np.float32(0), np.float32(1))[:, None] * moves[0]
+            # 'other' follows each run as filling; where nothing does, what the move to it adds is taken away
+            scores[ends - 1] -= np.where(wall[ends], np.float32(1), np.float32(0))[:, None] * moves[:, 0]
+            self.decode(scores, labels, starts, ends)
+        out, at = [], 1
         for n in sizes:
             out.append(labels[at : at + n])
-            at += n + CONTEXT
+            at += n + 1
         return out
 
+    def decode(self, scores: np.ndarray, labels: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Labels of the runs [start, end), each followed by 'other'; runs of about one length side by side."""
+        filling = np.full(len(LABELS), -1e9, dtype=np.float32)
+        filling[0] = 0
+        lengths, width = ends - starts, 4
+        while width <= BLOCK:
+            mine = np.flatnonzero((lengths > width // 2 if width > 4 else lengths > 0) & (lengths <= width))
+            for at in range(0, len(mine), STEP // width):
+                some = mine[at : at + STEP // width]
+                place = starts[some][:, None] + np.arange(width)[None, :]
+                inside = place < ends[some][:, None]
+                place = np.minimum(place, len(scores) - 1)
+                found = self.viterbi(np.where(inside[:, :, None], scores[place], filling))
+                labels[place[inside]] = found[inside]
+            width *= 2
+        for i in np.flatnonzero(lengths > BLOCK).tolist():
+            run = scores[starts[i] : ends[i]]
+            run = np.concatenate([run, np.tile(filling, (-len(run) % BLOCK, 1))])
+            labels[starts[i] : ends[i]] = self.viterbi_long(run)[: lengths[i]]
+
 
 def train(table: list[list[tuple[str, int]]], rounds: int = 120, rate: float = 0.25, penalty: float = 1e-5) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Weights that maximise the conditional likelihood (with a squared penalty), by Adam over the whole table."""

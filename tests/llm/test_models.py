@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -55,6 +56,39 @@ def test_viterbi_is_exact():
         assert paths[total.argmax()].tolist() == got.tolist()
 
 
+def test_labels_are_the_best_path_of_whole_texts():
+    """Runs, blocks and text ends against one plain Viterbi over each text."""
+    rng = random.Random(5)
+    names, weights, moves = pii.trained()
+    for loose in (False, True):  # loose: weak weights leave nearly every word open, in runs over several blocks
+        field = pii.Field(names, weights * np.float32(0.02 if loose else 1), moves)
+        table = [[w for w, _ in s] for s in pii.labelled_table(120, seed=41)]
+        texts = [[], ["x"], ["(743)"]] + [sum(rng.sample(table, k), []) for k in (1, 2, 5, 20, 40)]
+        opened = 0
+        for words, got in zip(texts, field.label(texts)):
+            assert len(words) == len(got)
+            if not words:
+                continue
+            scores = field.emissions(field.numbers(words))
+            want = field.viterbi(scores[None])[0]
+
+            def total(path):
+                return scores[np.arange(len(path)), path].sum(dtype=np.float64) + moves[path[:-1], path[1:]].sum(dtype=np.float64)
+
+            assert total(got) == pytest.approx(total(want), abs=1e-2)
+            assert (got == want).mean() > 0.999
+            opened = max(opened, len(words))
+        assert opened > 4 * pii.BLOCK
+
+
+def test_long_runs_equal_plain_viterbi():
+    field = pii.Field(*pii.trained())
+    rng = np.random.default_rng(8)
+    for blocks in (2, 5, 9):
+        scores = rng.normal(0, 3, (blocks * pii.BLOCK, len(pii.LABELS))).astype(np.float32)
+        assert field.viterbi_long(scores).tolist() == field.viterbi(scores[None])[0].tolist()
+
+
 def test_field_on_held_out_table():
     field = pii.Field(*pii.trained())
     table = pii.labelled_table(200, seed=99)
