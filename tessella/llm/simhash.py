@@ -238,23 +238,26 @@ def print_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     return found.where("key IS NULL").select("a", "b").unionByName(more).distinct()
 
 
-def named_rows(rows: DataFrame, name, distance: int, block: int) -> DataFrame:
-    """``rows`` (with print) and ``first``: the smallest ``name``, an aggregate over rows, of each row's component."""
+def named_rows(rows: DataFrame, own, distance: int, block: int) -> DataFrame:
+    """``rows`` (with print) and ``first``: the smallest ``own``, an expression over a row, in each row's component."""
     spark = rows.sparkSession
-    classes = stage(rows.groupBy("print").agg(name.alias("first")), "simhash-classes")
+    classes = stage(rows.groupBy("print").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("size")), "simhash-classes")
     labels = connected_components(print_links(classes, distance, block))
     release_shuffles(spark)
     linked = classes.join(labels.withColumnRenamed("node", "print"), "print")
     linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("print", "least")
-    named = classes.join(linked, "print", "left").select("print", F.coalesce("least", "first").alias("first"))
+    named = classes.join(linked, "print", "left").where("size > 1 OR least IS NOT NULL")
+    # a table of its own: the join is broadcast where it is small, else Spark may split a class that holds many rows
+    named = stage(named.select("print", F.coalesce("least", "first").alias("first")), "simhash-names")
     small_batches(spark)
-    return rows.join(named, "print")
+    joined = rows.join(named.withColumn("several", F.lit(True)), "print", "left")
+    return joined.withColumn("first", F.when(F.col("several"), F.col("first")).otherwise(own)).drop("several")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable by links)."""
     rows = stage(fingerprints(docs, id_column, text_column), "simhash-prints")
-    named = named_rows(rows, F.min("doc_id"), distance, block)
+    named = named_rows(rows, F.col("doc_id"), distance, block)
     return named.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
@@ -267,7 +270,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None =
     """
     rows = stage(fingerprints(docs, digests=True), "simhash-prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
-    named = named_rows(rows, F.min(order), DISTANCE, BLOCK)
+    named = named_rows(rows, order, DISTANCE, BLOCK)
     named = stage(named.select("doc_id", "text_sha256", order.eqNullSafe(F.col("first")).alias("stays")), "simhash-named")
     gone = named.where("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
