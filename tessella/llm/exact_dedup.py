@@ -126,8 +126,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     function = fingerprint or Fingerprinter()
     spark = docs.sparkSession
-    prints = stage(fingerprints(docs, id_column, text_column, function), "dedup-prints").withColumn("row_no", F.monotonically_increasing_id())
-    prints = stage(prints, "dedup-rows")
+    prints = fingerprints(docs, id_column, text_column, function).withColumn("row_no", F.monotonically_increasing_id())
+    prints = stage(prints, "dedup-prints")
     best = F.min_by("doc_id", F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id")).alias("keep_id")
     groups = prints.groupBy("n_bytes", "print").agg(best, F.count(F.lit(1)).alias("group_size"))
     multiple = stage(groups.where("group_size > 1 AND n_bytes > 0"), "dedup-groups")
@@ -139,8 +139,17 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     key = ["n_bytes", "print", "split"]
     order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id", "row_no")
     final = keyed.groupBy(key).agg(F.min_by(F.struct("doc_id", "row_no"), order).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    out = keyed.join(final, key)
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("keep.row_no")).alias("kept"), "text_sha256")
+    # a table of its own: the join is broadcast where it is small, else Spark may split a group that holds many rows
+    final = stage(final.where("group_size > 1"), "dedup-final")
+    out = keyed.join(final, key, "left")
+    single = F.col("group_size").isNull()
+    return out.select(
+        "doc_id",
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (single | (F.col("row_no") == F.col("keep.row_no"))).alias("kept"),
+        "text_sha256",
+    )
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
