@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WHITESPACE = b" \t\n\v\f\r"
 
-#: Rows of documents in one Arrow batch: with very long texts a batch stays at some tens of MB.
+#: Rows, and bytes, of documents in one Arrow batch; a single longer text is a batch of its own.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 _own_dir: list[str] = []
 
@@ -51,8 +52,9 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows so that long texts don't add up to more than a worker may hold."""
+    """Bound Arrow batches by rows and bytes so that long texts don't add up to more than a worker may hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
