@@ -3,8 +3,8 @@
 A text is normalised (ASCII white space deleted), cut into chunks of bytes, and each chunk is hashed as a
 polynomial modulo two primes. Chunk hashes are independent, so they are computed side by side as one matrix
 product, and combine by length-shifted arithmetic: ``hash(xy) = hash(x) * base**len(y) + hash(y)``.
-Rows with equal (length, fingerprint) are candidates; every candidate's chunks are then compared with those
-of its group's representative. A group with a differing chunk, a true collision, is split by SHA-256.
+Rows with equal (length, fingerprint) are candidates; the chunks at each place of a group are then compared,
+the least with the greatest. A group with differing chunks, a true collision, is split by SHA-256.
 
 Defined results: a null text counts as empty, and all empty texts are one group; rows with the same text and
 the same id (repeated rows) are one group in which a single row is kept; null ids sort after all others;
@@ -92,31 +92,30 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return map_columns(rows, batch, "doc_id long, n_points long, n_bytes long, print long, text_sha256 string")
 
 
-def colliding_groups(docs: DataFrame, multiple: DataFrame, id_column: str, text_column: str, function: Fingerprinter) -> DataFrame:
-    """(n_bytes, print) of groups in which some chunk differs from the representative's."""
+def colliding_groups(docs: DataFrame, multiple: DataFrame, text_column: str, function: Fingerprinter) -> DataFrame:
+    """(n_bytes, print) of groups whose rows differ in some chunk."""
     size = function.chunk
 
     def cut(columns: dict) -> dict:
-        out = {"doc_id": [], "n_bytes": [], "print": [], "chunk_no": [], "chunk": []}
-        for doc_id, text in zip(columns["doc_id"], columns["text"]):
+        out: dict = {"n_bytes": [], "print": [], "chunk_no": [], "chunk": []}
+        for text in columns["text"]:
             data = normalised(text)
             key = len(data), function(data)
             for k, at in enumerate(range(0, len(data), size)):
-                for name, value in zip(out, (doc_id, *key, k, data[at : at + size])):
+                for name, value in zip(out, (*key, k, data[at : at + size])):
                     out[name].append(value)
         return out
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(text_column).alias("text"))
     # the length in bytes is cheap to know before anything is shuffled: most texts have no partner of their length
     length = F.octet_length(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""))
     lengths = multiple.select(F.col("n_bytes").alias("length")).distinct()
-    rows = rows.withColumn("length", length.cast("long")).join(lengths, "length", "left_semi").select("doc_id", "text")
-    chunks = map_columns(rows, cut, "doc_id long, n_bytes long, print long, chunk_no long, chunk binary")
-    chunks = chunks.join(multiple.select("n_bytes", "print", F.col("keep_id")), ["n_bytes", "print"])
-    chunks = stage(chunks.select("n_bytes", "print", "chunk_no", "chunk", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("own")), "dedup-chunks")
-    key = ["n_bytes", "print", "chunk_no"]
-    first = chunks.where("own").groupBy(key).agg(F.min("chunk").alias("kept_chunk"))
-    return chunks.where("NOT own").join(first, key).where("chunk <> kept_chunk").select("n_bytes", "print").distinct()
+    rows = rows.withColumn("length", length.cast("long")).join(lengths, "length", "left_semi").select("text")
+    chunks = map_columns(rows, cut, "n_bytes long, print long, chunk_no long, chunk binary")
+    chunks = stage(chunks.join(multiple.select("n_bytes", "print"), ["n_bytes", "print"], "left_semi").select("n_bytes", "print", "chunk_no", "chunk"), "dedup-chunks")
+    # every copy of a chunk is compared where it is read; a task sends on at most two for each place in a group
+    ends = chunks.groupBy("n_bytes", "print", "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    return ends.where("least <> most").select("n_bytes", "print").distinct()
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", fingerprint: Fingerprinter | None = None) -> DataFrame:
@@ -128,10 +127,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     spark = docs.sparkSession
     prints = fingerprints(docs, id_column, text_column, function).withColumn("row_no", F.monotonically_increasing_id())
     prints = stage(prints, "dedup-prints")
-    best = F.min_by("doc_id", F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id")).alias("keep_id")
-    groups = prints.groupBy("n_bytes", "print").agg(best, F.count(F.lit(1)).alias("group_size"))
+    groups = prints.groupBy("n_bytes", "print").agg(F.count(F.lit(1)).alias("group_size"))
     multiple = stage(groups.where("group_size > 1 AND n_bytes > 0"), "dedup-groups")
-    collisions = stage(colliding_groups(docs, multiple, id_column, text_column, function), "dedup-collisions")
+    collisions = stage(colliding_groups(docs, multiple, text_column, function), "dedup-collisions")
     release_shuffles(spark)
     # '' is the class of every row whose group held under comparison
     collided = collisions.withColumn("collided", F.lit(True))
