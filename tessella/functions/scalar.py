@@ -51,3 +51,15 @@ def transparent_ramp(spark: SparkSession, rgb: tuple[int, int, int], steps: int
 def xml_safe(text: Column) -> Column:
     """Text without the control characters that XML 1.0 forbids."""
     return F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+
+
+def tag_name(code: Column, registries: list[dict[int, str]]) -> Column:
+    """Name of a tag in the first registry that knows it, else the code as text."""
+    found = [F.try_element_at(F.create_map(*[F.lit(x) for pair in r.items() for x in pair]), code) for r in registries if r]
+    return F.coalesce(*found, code.cast("string"))
+
+
+def padding_halves(own: Column, other: Column) -> tuple[Column, Column]:
+    """(before, after) pads that make a side as long as another: the floor half first."""
+    lack = F.greatest(other - own, F.lit(0))
+    return F.floor(lack / 2), F.ceil(lack / 2)

@@ -161,3 +161,26 @@ def segmentation_metrics(masks: DataFrame) -> DataFrame:
     iou = F.when(F.col("tp") + F.col("fp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn")))
     total = F.sum("tp") + F.sum("fp") + F.sum("fn")
     return each.withColumn("iou", iou).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.when(total == 0, 1.0).otherwise(F.sum("tp") / total).alias("micro_iou"), F.avg("iou").alias("image_iou"))
+
+
+def label_codes(labels: DataFrame, label: str = "label", background: str = "") -> DataFrame:
+    """Rows with ``code``: 1..K over the sorted distinct labels, 0 for null or ``background``.
+
+    The labels alone are sorted, after they are made distinct; rows meet them in a join.
+    """
+    used = F.col(label).isNotNull() & (F.col(label) != background)
+    known = labels.where(used).select(label).distinct().withColumn("code", F.row_number().over(Window.orderBy(label)).cast("long"))
+    return labels.join(known, label, "left").withColumn("code", F.coalesce("code", F.lit(0).cast("long")))
+
+
+def cluster_sizes(labels: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n, percent) of each cluster."""
+    sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def rescaled(rows: DataFrame, value: str = "v", top: float = 255.0) -> DataFrame:
+    """``value`` brought to 0..top by its least and greatest; 0 where all are equal."""
+    ends = rows.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    scaled = F.coalesce(F.try_divide((F.col(value) - F.col("__low")) * top, F.col("__high") - F.col("__low")), F.lit(0.0))
+    return rows.join(F.broadcast(ends)).withColumn(value, F.when(F.col(value).isNotNull(), scaled)).drop("__low", "__high")

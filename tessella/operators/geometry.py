@@ -167,3 +167,23 @@ def extract_pixels(patches: DataFrame, pixels: DataFrame, tile: int = 448) -> Da
     placed = pixels.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
     hit = cover.join(placed, ["image", "ty", "tx"]).where("y >= ymin AND y < ymax AND x >= xmin AND x < xmax")
     return hit.select("image", "row_idx", "c", (F.col("y") - F.col("ymin")).alias("py"), (F.col("x") - F.col("xmin")).alias("px"), "v")
+
+
+def nearest_vertices(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(shape, i, j, distance): the closest vertices of two rings of a shape, the first pair on ties.
+
+    Both have shape and points, an array of (x, y); a shape's pairs are compared inside its row and never
+    become rows of a shuffle.
+    """
+    both = left.select("shape", F.col("points").alias("p")).join(right.select("shape", F.col("points").alias("q")), "shape")
+    square = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
+    pair = lambda a, i: F.array_min(F.transform("q", lambda b, j: F.struct(square(a, b).cast("double").alias("d"), i.alias("i"), j.alias("j"))))
+    best = both.select("shape", F.array_min(F.transform("p", pair)).alias("b")).where("b IS NOT NULL")
+    return best.select("shape", F.col("b.i").cast("long").alias("i"), F.col("b.j").cast("long").alias("j"), F.sqrt("b.d").alias("distance"))
+
+
+def contour_holes(contours: DataFrame) -> DataFrame:
+    """(contour, holes): each outer contour with its holes' numbers in order; rows have contour and parent (-1: outer)."""
+    outer = contours.where("parent = -1").select("contour")
+    holes = contours.where("parent <> -1").groupBy(F.col("parent").alias("contour")).agg(F.sort_array(F.collect_list(contours["contour"])).alias("holes"))
+    return outer.join(holes, "contour", "left").withColumn("holes", F.coalesce("holes", F.array().cast("array<bigint>")))

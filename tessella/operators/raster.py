@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,55 @@ def filled_polygons(spark: SparkSession, polygons: list[tuple[int, list[tuple[in
     for label, ring in polygons:
         value = F.when(inside_polygon(F.col("x").cast("double"), F.col("y").cast("double"), ring), F.lit(label).cast("long")).otherwise(value)
     return canvas(spark, height, width).withColumn("v", value)
+
+
+def local_entropy(pixels: DataFrame, radius: int) -> DataFrame:
+    """Entropy in bits of the values in each square neighbourhood; outside pixels are absent."""
+    offset = F.sequence(F.lit(-radius), F.lit(radius))
+    spread = pixels.select("v", F.explode(F.transform(offset, lambda o: F.col("y") + o)).alias("y"), "x")
+    spread = spread.select("v", "y", F.explode(F.transform(offset, lambda o: F.col("x") + o)).alias("x"))
+    bins = spread.groupBy("y", "x", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = bins.groupBy("y", "x").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("v"))
+    return found.join(pixels.select("y", "x"), ["y", "x"], "left_semi")
+
+
+def closed(pixels: DataFrame, radius: int) -> DataFrame:
+    """Morphological closing: a square dilation, then a square erosion."""
+    return neighbourhood(neighbourhood(pixels, radius, F.max("v")), radius, F.min("v"))
+
+
+def gaussian_kernel(size: int, sigma: float | None = None) -> list[float]:
+    """Weights that sum to one; the usual width for a size where none is given."""
+    sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
+    return [w / sum(weights) for w in weights]
+
+
+def convolved(pixels: DataFrame, kernel: list[float], height: int, width: int) -> DataFrame:
+    """(y, x, v) of a dense raster under a symmetric separable kernel; borders mirror without repeating the edge.
+
+    Each pixel sends its weighted value to the places that see it, directly or mirrored, and sums are taken
+    before the shuffle. The kernel's half must be smaller than the sides.
+    """
+    half = len(kernel) // 2
+    if half >= min(height, width):
+        raise ValueError("the kernel is larger than the raster")
+    taps = F.array(*(F.struct(F.lit(i - half).alias("d"), F.lit(float(w)).alias("w")) for i, w in enumerate(kernel)))
+    for axis, other, side in (("y", "x", height), ("x", "y", width)):
+        images = F.array_distinct(F.array(F.col(axis), -F.col(axis), F.lit(2 * side - 2) - F.col(axis)))
+        seen = pixels.select(other, "v", F.explode(images).alias("at")).select(other, "v", "at", F.explode(taps).alias("t"))
+        seen = seen.select(other, (F.col("at") - F.col("t.d")).alias(axis), (F.col("v") * F.col("t.w")).alias("v"))
+        pixels = seen.where((F.col(axis) >= 0) & (F.col(axis) < side)).groupBy("y", "x").agg(F.sum("v").alias("v"))
+    return pixels
+
+
+def soft_labels(classes: DataFrame, positive: list[int], size: int, height: int, width: int) -> DataFrame:
+    """Training masks: 1 for pixels of the positive classes, blurred."""
+    hard = classes.withColumn("v", F.coalesce(F.col("v").isin(positive), F.lit(False)).cast("double"))
+    return convolved(hard, gaussian_kernel(size), height, width)
+
+
+def unit_pairs(pairs: DataFrame) -> DataFrame:
+    """Training pairs (id, image, mask as arrays of doubles): images over 1 are divided by 255, masks clipped to 0..1."""
+    scaled = F.when(F.array_max("image") > 1, F.transform("image", lambda v: v / 255)).otherwise(F.col("image"))
+    return pairs.select("id", scaled.alias("image"), F.transform("mask", lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).alias("mask"))

@@ -474,6 +474,117 @@ def q_colour_ramp(spark, d):
     return S.transparent_ramp(spark, (255, 128, 0)).select("step", "r", "g", "b", r6("a"))
 
 
+# ---- lookups, labels, training data and neighbourhoods
+
+@query("SELECT p_partkey, CASE WHEN p_size IN (1, 2) THEN ['Width', 'Height'][p_size] WHEN p_size = 3 THEN 'Unit' ELSE p_size::VARCHAR END AS tag FROM part")
+def q_tag_names(spark, d):
+    registries = [{1: "Width", 2: "Height"}, {2: "Other", 3: "Unit"}]
+    return table(spark, d, "part").select("p_partkey", S.tag_name(F.col("p_size"), registries).alias("tag"))
+
+
+@query("SELECT p_partkey, greatest(30 - p_size, 0)::BIGINT // 2 AS before, greatest(30 - p_size, 0)::BIGINT - greatest(30 - p_size, 0)::BIGINT // 2 AS after FROM part")
+def q_equal_padding(spark, d):
+    before, after = S.padding_halves(F.col("p_size"), F.lit(30))
+    return table(spark, d, "part").select("p_partkey", before.alias("before"), after.alias("after"))
+
+
+@query("SELECT image, level, h AS height, w AS width, round(10000 / h, 9) AS scale_y, round(8000 / w, 9) AS scale_x FROM (SELECT 's' || i AS image, l AS level, 10000 // (2 ** l)::INT AS h, 8000 // (2 ** l)::INT AS w FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(4)) AS l))")
+def q_level_scales(spark, d):
+    tiles = spark.range(12).selectExpr("concat('s', id % 3) AS image", "id div 3 AS level", "0L AS y", "0L AS x", "10000 div CAST(pow(2, id div 3) AS INT) AS h", "8000 div CAST(pow(2, id div 3) AS INT) AS w")
+    return IO.levels(tiles).select("image", "level", "height", "width", F.round("scale_y", 9).alias("scale_y"), F.round("scale_x", 9).alias("scale_x"))
+
+
+@query("SELECT n_nationkey, CASE WHEN r_name = 'ASIA' THEN 0 ELSE dense_rank() OVER (ORDER BY r_name = 'ASIA', r_name) END::BIGINT AS code FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q_label_codes(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return A.label_codes(rows, "r_name", background="ASIA").select("n_nationkey", "code")
+
+
+@query("SELECT label, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM embeddings GROUP BY label")
+def q_cluster_sizes(spark, d):
+    return A.cluster_sizes(table(spark, d, "embeddings")).select("label", "n", r6("percent"))
+
+
+@query("SELECT event_id, round((value - min(value) OVER ()) * 255 / (max(value) OVER () - min(value) OVER ()), 6) AS value FROM events")
+def q_rescaled_values(spark, d):
+    return A.rescaled(table(spark, d, "events").select("event_id", "value"), "value").select("event_id", r6("value"))
+
+
+@query("SELECT 'sae_' || i AS name FROM (SELECT unnest(range(64)) AS i) WHERE 'sae_' || i NOT IN (SELECT 'sae_' || label FROM embeddings)")
+def q_kept_names(spark, d):
+    old = spark.range(64).selectExpr("concat('sae_', id) AS name")
+    return IO.kept_names(old, table(spark, d, "embeddings").selectExpr("concat('sae_', label) AS name"))
+
+
+@query(f"WITH {PIXELS} SELECT y, x, v & 240 & 85 AS v FROM px")
+def q_mask_intersection(spark, d):
+    a = pixels(spark, d).selectExpr("y", "x", "v & 240 AS a")
+    b = pixels(spark, d).selectExpr("y", "x", "v & 85 AS b")
+    return a.join(b, ["y", "x"]).select("y", "x", F.col("a").bitwiseAND(F.col("b")).alias("v"))
+
+
+RINGS = "SELECT label AS shape, (vec_id * 7919 % 101)::BIGINT AS x, (vec_id * 104729 % 97)::BIGINT AS y, vec_id % 2 AS side, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS k FROM embeddings"
+
+
+@query(f"WITH r AS ({RINGS}), c AS (SELECT a.shape, a.k AS i, b.k AS j, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS s FROM r a JOIN r b ON a.shape = b.shape AND a.side = 0 AND b.side = 1) SELECT shape, i, j, round(sqrt(s), 6) AS distance FROM c QUALIFY row_number() OVER (PARTITION BY shape ORDER BY s, i, j) = 1")
+def q_nearest_vertices(spark, d):
+    rows = table(spark, d, "embeddings").selectExpr("label AS shape", "vec_id", "vec_id % 2 AS side", "vec_id * 7919 % 101 AS x", "vec_id * 104729 % 97 AS y")
+    ring = lambda side: rows.where(F.col("side") == side).groupBy("shape").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    return G.nearest_vertices(ring(0), ring(1)).select("shape", "i", "j", r6("distance"))
+
+
+@query("SELECT a.n_nationkey::BIGINT AS contour, coalesce(string_agg(b.n_nationkey::VARCHAR, ' ' ORDER BY b.n_nationkey), '') AS holes FROM nation a LEFT JOIN nation b ON b.n_nationkey >= 5 AND b.n_nationkey % 4 = a.n_nationkey WHERE a.n_nationkey < 5 GROUP BY 1")
+def q_contour_holes(spark, d):
+    rows = table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS contour", "CAST(if(n_nationkey < 5, -1, n_nationkey % 4) AS BIGINT) AS parent")
+    return G.contour_holes(rows).select("contour", F.array_join(F.col("holes").cast("array<string>"), " ").alias("holes"))
+
+
+@query(f"WITH {PIXELS} SELECT a.y, a.x, median(b.v) AS v FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2")
+def q_median_filter(spark, d):
+    return R.neighbourhood(pixels(spark, d), 1, F.median("v"))
+
+
+@query(f"WITH {PIXELS}, h AS (SELECT a.y, a.x, b.v // 50 AS v, count(*) AS n FROM px a JOIN px b ON b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY ALL) SELECT y, x, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS v FROM h GROUP BY y, x")
+def q_local_entropy(spark, d):
+    return R.local_entropy(pixels(spark, d).selectExpr("y", "x", "v div 50 AS v"), 2).select("y", "x", r6("v"))
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT a.y, a.x, max(b.v) AS v FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2) SELECT a.y, a.x, min(b.v) AS v FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2")
+def q_closed_mask(spark, d):
+    return R.closed(pixels(spark, d), 1)
+
+
+SOFT = "g AS (SELECT unnest(range(24)) AS y), h AS (SELECT unnest(range(30)) AS x), p AS (SELECT y, x, ((y // 4 + x // 5) % 3 IN (1, 2))::INT AS v FROM g, h), k AS (SELECT i - 3 AS o, w / sum(w) OVER () AS w FROM (SELECT i, exp(-((i - 3) ** 2) / (2 * 1.4 ** 2)) AS w FROM (SELECT unnest(range(7)) AS i)))"
+
+
+@query(f"WITH {SOFT}, a AS (SELECT t.y, p.x, sum(k.w * p.v) AS v FROM g t, k JOIN p ON p.y = CASE WHEN t.y + k.o < 0 THEN -(t.y + k.o) WHEN t.y + k.o > 23 THEN 46 - t.y - k.o ELSE t.y + k.o END GROUP BY 1, 2) SELECT a.y, t.x, round(sum(k.w * a.v), 6) AS v FROM h t, k JOIN a ON a.x = CASE WHEN t.x + k.o < 0 THEN -(t.x + k.o) WHEN t.x + k.o > 29 THEN 58 - t.x - k.o ELSE t.x + k.o END GROUP BY 1, 2")
+def q_soft_labels(spark, d):
+    classes = R.canvas(spark, 24, 30).withColumn("v", F.expr("(y div 4 + x div 5) % 3"))
+    return R.soft_labels(classes, [1, 2], 7, 24, 30).select("y", "x", r6("v"))
+
+
+@query("SELECT vec_id AS id, round(list_sum([CASE WHEN list_max(embedding) > 0.25 THEN v / 255 ELSE v / 1 END FOR v IN list_transform(embedding, lambda v: v::DOUBLE * 4)]), 6) AS image, round(list_sum([least(greatest(v::DOUBLE, 0), 1) FOR v IN embedding]), 6) AS mask FROM embeddings")
+def q_training_pairs(spark, d):
+    rows = table(spark, d, "embeddings").selectExpr("vec_id AS id", "transform(embedding, v -> CAST(v AS DOUBLE) * 4) AS image", "CAST(embedding AS ARRAY<DOUBLE>) AS mask")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6).alias(c)
+    return R.unit_pairs(rows).select("id", total("image"), total("mask"))
+
+
+@query("WITH u AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS i, b.vec_id AS j, round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS distance FROM u a JOIN u b ON a.vec_id < b.vec_id")
+def q_cosine_distances(spark, d):
+    from ..operators.cluster import cosine_distances
+
+    rows = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("row_idx"), F.col("embedding").cast("array<double>").alias("vec"))
+    return cosine_distances(rows).select("i", "j", r6("distance"))
+
+
+@query(f"WITH {PIXELS}, s AS (SELECT a.y, a.x, sum(b.v * (a.y - b.y) * CASE WHEN a.x = b.x THEN 2 ELSE 1 END) AS gy, sum(b.v * (a.x - b.x) * CASE WHEN a.y = b.y THEN 2 ELSE 1 END) AS gx FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2) SELECT y, x, round(sqrt(gy * gy + gx * gx) / 4, 6) AS v FROM s")
+def q_sobel_gradient(spark, d):
+    from ..operators.adaptive import gradient
+
+    return gradient(pixels(spark, d).withColumn("image", F.lit("a"))).select("y", "x", r6("v"))
+
+
 # ---- no SQL: iterative or geometric algorithms, tested against brute force
 
 @query()

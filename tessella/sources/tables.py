@@ -138,3 +138,8 @@ def levels(tiles: DataFrame) -> DataFrame:
     size = tiles.groupBy("image", "level").agg(F.max(F.col("y") + F.col("h")).alias("height"), F.max(F.col("x") + F.col("w")).alias("width"))
     w = Window.partitionBy("image").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return size.select("image", "level", "height", "width", (F.first("height").over(w) / F.col("height")).alias("scale_y"), (F.first("width").over(w) / F.col("width")).alias("scale_x"))
+
+
+def kept_names(old: DataFrame, new: DataFrame, name: str = "name") -> DataFrame:
+    """Rows of ``old`` whose names ``new`` doesn't replace."""
+    return old.join(new.select(name), name, "left_anti")
