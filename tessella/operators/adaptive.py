@@ -6,6 +6,7 @@ in pandas groups. Refinement is a driver loop over Spark jobs; each epoch's tabl
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -185,13 +186,7 @@ def refine_epoch(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFr
     """(cells, samples) of the next epoch: cells whose mean gradient is over the threshold get their corners
     labelled and, while over the least size, split; the others stay."""
     slopes = gradient(interpolate_linear(samples, height, width))
-    means = []
-    for image in [r.image for r in cells.select("image").distinct().collect()]:
-        own = R.integral_cells(slopes.where(F.col("image") == image).drop("image"), cells.where(F.col("image") == image).drop("image"), threshold)
-        means.append(own.withColumn("image", F.lit(image)))
-    scored = means[0]
-    for m in means[1:]:
-        scored = scored.unionByName(m)
+    scored = R.integral_cells(slopes, cells, threshold, by=("image",))
     active = scored.where("active").select("image", "x0", "y0", "size")
     idle = scored.where("NOT active").select("image", "x0", "y0", "size")
     new = labeler(G.unsampled_corners(active, samples).where((F.col("x") < width) & (F.col("y") < height)))
@@ -200,7 +195,13 @@ def refine_epoch(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFr
 
 
 def adaptive_samples(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFrame], DataFrame], height: int, width: int, threshold: float = 0.1, least: int = 32, most_epochs: int = 20) -> DataFrame:
-    """Samples after refinement, until no cell is left or an epoch after the first adds nothing."""
+    """Samples after refinement, until no cell is left or an epoch after the first adds nothing.
+
+    Epochs are checkpointed in the session's folder; a folder of our own is set only where it has none.
+    """
+    context = samples.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     before = samples.count()
     for epoch in range(1, most_epochs + 1):
         cells, samples = refine_epoch(cells, samples, labeler, height, width, threshold, least)

@@ -96,15 +96,18 @@ def normalised_channel(pixels: DataFrame, tiles: DataFrame, tile: int) -> DataFr
     return key.select("y", "x", F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * F.col("mask") * 255).alias("v"))
 
 
-def integral_cells(pixels: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Mean of v over each cell (x0, y0, size) by two-way prefix sums, and whether it is over the threshold."""
-    rows = pixels.withColumn("r", F.sum("v").over(Window.partitionBy("y").orderBy("x")))
-    sums = rows.withColumn("s", F.sum("r").over(Window.partitionBy("x").orderBy("y"))).select("y", "x", "s")
+def integral_cells(pixels: DataFrame, cells: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of v over each cell (x0, y0, size) by two-way prefix sums, and whether it is over the threshold.
+
+    ``by`` names columns, such as the image, that tell rasters apart in both tables.
+    """
+    rows = pixels.withColumn("r", F.sum("v").over(Window.partitionBy(*by, "y").orderBy("x")))
+    sums = rows.withColumn("s", F.sum("r").over(Window.partitionBy(*by, "x").orderBy("y"))).select(*by, "y", "x", "s")
     corner = F.array(*(F.struct((F.col("y0") + dy * F.col("size") - 1).alias("y"), (F.col("x0") + dx * F.col("size") - 1).alias("x"), F.lit(sign).alias("sign")) for dy, dx, sign in ((0, 0, 1), (0, 1, -1), (1, 0, -1), (1, 1, 1))))
-    four = cells.select("x0", "y0", "size", F.explode(corner).alias("c")).select("x0", "y0", "size", "c.y", "c.x", "c.sign")
-    total = four.join(sums, ["y", "x"], "left").groupBy("x0", "y0", "size").agg(F.sum(F.coalesce(F.col("s"), F.lit(0.0)) * F.col("sign")).alias("t"))
+    four = cells.select(*by, "x0", "y0", "size", F.explode(corner).alias("c")).select(*by, "x0", "y0", "size", "c.y", "c.x", "c.sign")
+    total = four.join(sums, [*by, "y", "x"], "left").groupBy(*by, "x0", "y0", "size").agg(F.sum(F.coalesce(F.col("s"), F.lit(0.0)) * F.col("sign")).alias("t"))
     mean = F.col("t") / (F.col("size") * F.col("size"))
-    return total.select("x0", "y0", "size", mean.alias("mean"), (mean > threshold).alias("active"))
+    return total.select(*by, "x0", "y0", "size", mean.alias("mean"), (mean > threshold).alias("active"))
 
 
 def resized(pixels: DataFrame, spark: SparkSession, source: tuple[int, int], target: tuple[int, int], linear: bool = False) -> DataFrame:

@@ -646,3 +646,21 @@ def q_token_clusters(spark, d):
     rows = table(spark, d, "embeddings").select((F.col("vec_id") / 25).cast("long").alias("row_idx"), (F.col("vec_id") % 25).alias("position"), F.col("embedding").cast("array<double>").alias("vec"))
     model = FrequencyRankedKMeans(k=10, normalise=False, centroids=centroids(spark, d))
     return TokenClusters(model, grid=5).fit(rows, F.col("row_idx") % 2 == 0).maps(rows)
+
+
+@query()
+def q_adaptive_samples(spark, d):
+    from ..operators.adaptive import adaptive_samples
+
+    label = lambda df: df.withColumn("label", ((F.col("x") - 20) * (F.col("x") - 20) + (F.col("y") - 14) * (F.col("y") - 14) < 70).cast("long"))
+    cells = spark.range(30).selectExpr("concat('s', id div 15) AS image", "id % 5 * 8 AS x0", "id div 5 % 3 * 8 AS y0", "CAST(8 AS BIGINT) AS size")
+    start = label(G.corners(cells).where("x < 41 AND y < 25"))
+    return adaptive_samples(cells, start, label, 25, 41, threshold=0.05, least=4, most_epochs=2)
+
+
+@query()
+def q_feature_heatmap(spark, d):
+    from ..operators.cluster import FeatureClusters
+
+    pairs = iou(spark, A.strict_set(activations(spark, d)))
+    return FeatureClusters(threshold=0.9).fit(pairs).display(pairs)

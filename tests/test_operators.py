@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import adaptive, autoencoder, cluster, geometry, raster, selection
+from tessella.operators import adaptive, autoencoder, cluster, features, geometry, raster, selection
 from tessella.sources import tables
 from tessella.streaming import exemplars
 
@@ -112,3 +112,28 @@ def test_resize_and_pyramid(spark):
     assert raster.pyramid_levels(1000, 700, 256) == 3 and raster.pyramid_levels(10, 10, 256) == 1
     pad = raster.reflect_padded(px, 4, 4, 3).collect()
     assert len(pad) == 36 and {(r.y, r.x): r.v for r in pad}[4, 5] == 2 * 4 + 1
+
+
+def test_two_images_refine_apart(spark):
+    pixels = spark.createDataFrame([(i, y, x, float(y * 3 + x) * (1 if i == "a" else 5)) for i in "ab" for y in range(4) for x in range(6)], "image string, y long, x long, v double")
+    cells = spark.createDataFrame([(i, x, y, 2) for i in "ab" for x in (0, 2, 4) for y in (0, 2)], "image string, x0 long, y0 long, size long")
+    got = {(r.image, r.x0, r.y0): r.mean for r in raster.integral_cells(pixels, cells, 1.0, by=("image",)).collect()}
+    for (image, x0, y0), mean in got.items():
+        want = np.mean([(y * 3 + x) * (1 if image == "a" else 5) for y in (y0, y0 + 1) for x in (x0, x0 + 1)])
+        assert abs(mean - want) < 1e-9
+    assert len(got) == 12
+
+
+def test_edges_of_small_operators(spark):
+    rows = spark.createDataFrame([("b",), ("a",), (None,), ("",), ("b",)], "label string")
+    assert sorted((r.label or "", r.code) for r in features.label_codes(rows).collect()) == [("", 0), ("", 0), ("a", 1), ("b", 2), ("b", 2)]
+    assert features.label_codes(rows.limit(0)).count() == 0
+    same = spark.createDataFrame([(5.0,), (5.0,), (None,)], "v double")
+    assert sorted(str(r.v) for r in features.rescaled(same).collect()) == ["0.0", "0.0", "None"]
+    ring = "shape long, points array<struct<x: long, y: long>>"
+    a, b = spark.createDataFrame([(1, [(0, 0), (4, 0)]), (2, [])], ring), spark.createDataFrame([(1, [(4, 3), (0, 3)]), (2, [(1, 1)])], ring)
+    assert [tuple(r) for r in geometry.nearest_vertices(a, b).collect()] == [(1, 0, 1, 3.0)]
+    with pytest.raises(ValueError):
+        raster.convolved(raster.canvas(spark, 3, 3).withColumn("v", F.lit(1.0)), raster.gaussian_kernel(7), 3, 3)
+    level = raster.convolved(raster.canvas(spark, 5, 6).withColumn("v", F.lit(2.0)), raster.gaussian_kernel(5), 5, 6).collect()
+    assert len(level) == 30 and all(abs(r.v - 2) < 1e-12 for r in level)
