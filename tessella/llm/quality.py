@@ -101,7 +101,8 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def judge(docs: DataFrame, limit: float = HOST_LIMIT, **columns: str) -> DataFrame:
     """Measures of each document, base_failed, host, host_rate and kept."""
     measured = stage(measures(docs, **columns), "quality-measures")
-    hosts = host_verdicts(measured, limit).select("host", F.col("rate").alias("host_rate"), "host_kept")
+    # a table of its own: the join is broadcast where it is small, else Spark may split a host that holds many rows
+    hosts = stage(host_verdicts(measured, limit).select("host", F.col("rate").alias("host_rate"), "host_kept"), "quality-verdicts")
     joined = measured.join(hosts, "host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))
 
