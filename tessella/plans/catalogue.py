@@ -362,6 +362,12 @@ def q_patch_max_raster(spark, d):
     return R.paint_max(spark, rows, 50, 60, 96, 16)
 
 
+@query("WITH c AS (SELECT round_even(event_id * 37 % 900 / 16, 0)::BIGINT AS cx, round_even(event_id * 91 % 700 / 16, 0)::BIGINT AS cy, value AS score FROM events), top AS (SELECT cx, cy, max(score) AS score FROM c GROUP BY 1, 2), px AS (SELECT y, x FROM (SELECT unnest(range(50)) AS y), (SELECT unnest(range(60)) AS x)) SELECT px.y, px.x, coalesce(max(score), 0) AS v FROM px LEFT JOIN top ON px.x >= greatest(cx - 3, 0) AND px.x < least(cx + 3, 59) AND px.y >= greatest(cy - 3, 0) AND px.y < least(cy + 3, 49) GROUP BY 1, 2")
+def q_patch_max_raster_whole(spark, d):
+    rows = table(spark, d, "events").selectExpr("event_id * 37 % 900 AS x", "event_id * 91 % 700 AS y", "value AS score")
+    return R.paint_max(spark, rows, 50, 60, 96, 16)
+
+
 PIXELS = "px AS (SELECT l_partkey % 37 AS y, l_suppkey % 53 AS x, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY 1, 2)"
 
 
