@@ -584,6 +584,14 @@ def q_cosine_distances(spark, d):
     return cosine_distances(rows).select("i", "j", r6("distance"))
 
 
+@query("WITH m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY 1), k AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM n) SELECT ka.k AS i, kb.k AS j, round(1 - sum(a.v * b.v) / (any_value(na.n) * any_value(nb.n)), 6) AS distance FROM m a JOIN m b ON a.i = b.i AND a.label < b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label JOIN k ka ON ka.label = a.label JOIN k kb ON kb.label = b.label GROUP BY 1, 2")
+def q_cosine_distances_labels(spark, d):
+    from ..operators.cluster import cosine_distances
+
+    rows = spark.createDataFrame(list(enumerate(centroids(spark, d))), "row_idx long, vec array<double>")
+    return cosine_distances(rows).select("i", "j", r6("distance"))
+
+
 @query(f"WITH {PIXELS}, s AS (SELECT a.y, a.x, sum(b.v * (a.y - b.y) * CASE WHEN a.x = b.x THEN 2 ELSE 1 END) AS gy, sum(b.v * (a.x - b.x) * CASE WHEN a.y = b.y THEN 2 ELSE 1 END) AS gx FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2) SELECT y, x, round(sqrt(gy * gy + gx * gx) / 4, 6) AS v FROM s")
 def q_sobel_gradient(spark, d):
     from ..operators.adaptive import gradient

@@ -1,5 +1,7 @@
 """Registered queries that read whole tables: rows outside any id range count."""
 
+import numpy as np
+
 from tessella.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +17,13 @@ def test_every_event_is_painted(spark):
                 want[y, x] = max(want.get((y, x), value), value)
     got = {(r.y, r.x): r.v for r in catalogue.QUERIES["patch_max_raster_whole"](spark, SF).collect()}
     assert len(got) == 50 * 60 and got == {k: want.get(k, 0.0) for k in got}
+
+
+def test_distances_count_every_embedding(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("label", "embedding").collect()
+    names = sorted({r.label for r in rows})
+    means = np.stack([np.mean([r.embedding for r in rows if r.label == k], axis=0) for k in names])
+    means /= np.linalg.norm(means, axis=1, keepdims=True)
+    got = {(r.i, r.j): r.distance for r in catalogue.QUERIES["cosine_distances_labels"](spark, SF).collect()}
+    assert got.keys() == {(i, j) for j in range(len(names)) for i in range(j)}
+    assert all(abs(got[i, j] - (1 - means[i] @ means[j])) < 2e-6 for i, j in got)
