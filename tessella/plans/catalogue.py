@@ -102,6 +102,12 @@ def q_union_tables(spark, d):
     return T.union_tables([p.where("row_idx < 10").select("row_idx", "image"), p.where("row_idx >= 490 AND row_idx < 500").selectExpr("row_idx", "image", "row_idx * 2 AS extra")])
 
 
+@query(f"WITH {P} SELECT row_idx, image, NULL::BIGINT AS extra FROM p UNION ALL SELECT row_idx, image, row_idx * 2 FROM p")
+def q_union_tables_whole(spark, d):
+    p = patches(spark, d)
+    return T.union_tables([p.select("row_idx", "image"), p.selectExpr("row_idx", "image", "row_idx * 2 AS extra")])
+
+
 # ---- features
 
 STATS = "s AS (SELECT f.feature, coalesce(p, 0) AS pct_active, coalesce(m, 0) AS max_score FROM (SELECT unnest(range(64)) AS feature) f LEFT JOIN (SELECT feature, sum(n / CASE WHEN chunk = 39 THEN nr - sz * 39 ELSE sz END) / 40 AS p, max(m) AS m FROM (SELECT feature, least(row_idx // sz, 39) AS chunk, count(*) AS n, max(score) AS m, any_value(sz) AS sz, any_value(nr) AS nr FROM act, (SELECT count(*) AS nr, count(*) // 40 AS sz FROM embeddings) GROUP BY 1, 2) GROUP BY feature) USING (feature))"

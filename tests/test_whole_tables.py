@@ -27,3 +27,9 @@ def test_distances_count_every_embedding(spark):
     got = {(r.i, r.j): r.distance for r in catalogue.QUERIES["cosine_distances_labels"](spark, SF).collect()}
     assert got.keys() == {(i, j) for j in range(len(names)) for i in range(j)}
     assert all(abs(got[i, j] - (1 - means[i] @ means[j])) < 2e-6 for i, j in got)
+
+
+def test_union_keeps_every_row(spark):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    got = [(r.row_idx, r.extra) for r in catalogue.QUERIES["union_tables_whole"](spark, SF).collect()]
+    assert sorted(got, key=str) == sorted([(i, None) for i in ids] + [(i, 2 * i) for i in ids], key=str)
