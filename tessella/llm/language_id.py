@@ -7,8 +7,10 @@ memory.
 
 The network is trained in numpy by backpropagation through time (Adam) on the driver from a bounded sample of
 windows: at most ``SAMPLE_DOCS`` labelled documents of the training folds for each language, those with the
-smallest hashes of their ids, and ``SAMPLE_WINDOWS`` windows of each, at places drawn over the whole text. The
-bounds are parameters. Language, source and id of a document are never inputs.
+smallest hashes of their ids, and ``SAMPLE_WINDOWS`` windows of each: its padded end, as prediction cuts it, and
+others at places drawn over the whole text. Every language is learned; all share ``WINDOW_BUDGET`` windows, so
+many languages have fewer each, but one at least. Repeated rows count once, and texts without a letter, which are
+``und`` in any case, not at all. The bounds are parameters. Language, source and id of a document are never inputs.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; without labelled training
 documents all are ``und``; repeated rows are predicted alike; ties go to the label that sorts first; an empty
@@ -29,11 +31,17 @@ from ._common import LOWER, crc_fold, documents, map_columns, small_batches
 
 WIDTH, HIDDEN = 64, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
-MOST_LABELS = 64
+WINDOW_BUDGET = 102_400
+#: Labels up to which blocks have their full size; more labels make them smaller, so that memory stays bounded.
+FULL_LABELS = 64
 ASCII_LETTER = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 
 
+def block_size(full: int, labels: int) -> int:
+    return max(1, min(full, full * FULL_LABELS // max(labels, 1)))
+
+
 class Network:
     """Both directions in one state: columns are (forward, backward) for each of update, reset, candidate."""
 
@@ -74,17 +82,22 @@ class Network:
         both = np.concatenate([states[0, 1:], states[1, :0:-1]], axis=2)  # (width, n, 2h)
         return both @ p["w"] + p["b"], both, states, kept
 
-    def slopes(self, data: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def slopes(self, data: np.ndarray, gold: np.ndarray, weight: np.ndarray, used: np.ndarray | None = None) -> tuple[float, dict]:
+        """Loss and its slopes; with ``used``, over the first positions of each window only."""
         p, h = self.p, self.hidden
         n, width = data.shape
+        spread = np.tile(weight, (width, 1))
+        if used is not None:
+            spread *= np.arange(width)[:, None] < used
+        spread /= spread.sum()
         logits, both, states, kept = self.run(data, keep=True)
         logits -= logits.max(axis=2, keepdims=True)
         share = np.exp(logits)
         share /= share.sum(axis=2, keepdims=True)
         rows = np.arange(n)
-        loss = -(np.log(share[:, rows, gold] + 1e-12) * weight).sum() / (weight.sum() * width)
+        loss = -(np.log(share[:, rows, gold] + 1e-12) * spread).sum()
         share[:, rows, gold] -= 1
-        error = share * (weight / (weight.sum() * width))[None, :, None]
+        error = share * spread[:, :, None]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["w"] = np.tensordot(both, error, axes=([0, 1], [0, 1]))
         g["b"] = error.sum(axis=(0, 1))
@@ -108,18 +121,19 @@ class Network:
                 carry = carry * update + to_y @ u.T
         return loss, g
 
-    def fit(self, data: np.ndarray, gold: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network:
+    def fit(self, data: np.ndarray, gold: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 3, used: np.ndarray | None = None) -> Network:
         rng = np.random.default_rng(seed)
         counts = np.bincount(gold, minlength=len(self.labels))
         weights = (len(gold) / np.maximum(counts, 1) / len(self.labels))[gold]
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        batch = block_size(batch, len(self.labels))
         steps = max(1, epochs * -(-len(data) // batch))
         step = 0
         for _ in range(epochs):
             order = rng.permutation(len(data))
             for at in range(0, len(data), batch):
                 mine = order[at : at + batch]
-                _, g = self.slopes(data[mine], gold[mine], weights[mine])
+                _, g = self.slopes(data[mine], gold[mine], weights[mine], None if used is None else used[mine])
                 step += 1
                 size = np.sqrt(sum((x**2).sum() for x in g.values()))
                 for k in self.p:
@@ -175,14 +189,16 @@ class Network:
 
     def shares(self, data: np.ndarray) -> np.ndarray:
         """Label probabilities (windows, width, labels) of every position."""
-        return np.concatenate([self.stepped(data[at : at + 1024]).transpose(2, 1, 0) for at in range(0, len(data), 1024)])
+        block = block_size(1024, len(self.labels))
+        return np.concatenate([self.stepped(data[at : at + block]).transpose(2, 1, 0) for at in range(0, len(data), block)])
 
     def totals(self, data: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Label probabilities summed over the first ``used`` positions of each window."""
         parts = []
-        for at in range(0, len(data), 1024):
-            shares = self.stepped(data[at : at + 1024])
-            shares *= np.arange(data.shape[1])[:, None] < used[at : at + 1024]
+        block = block_size(1024, len(self.labels))
+        for at in range(0, len(data), block):
+            shares = self.stepped(data[at : at + block])
+            shares *= np.arange(data.shape[1])[:, None] < used[at : at + block]
             parts.append(shares.sum(axis=1).T)
         return np.concatenate(parts)
 
@@ -205,6 +221,7 @@ def pooled(texts: list[str | None], net: Network | None, most_windows: int = 163
     out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
     if net is None:
         return out
+    most_windows = block_size(most_windows, len(net.labels))
     sums = np.zeros((len(texts), len(net.labels)))
     sizes = np.zeros(len(texts))
     waiting: list[np.ndarray] = []
@@ -247,43 +264,49 @@ def pooled(texts: list[str | None], net: Network | None, most_windows: int = 163
     return out
 
 
-def training_windows(docs: DataFrame, folds: int, held: int, sample_docs: int, sample_windows: int, id_column: str, text_column: str, label_column: str) -> tuple[np.ndarray, list[str]]:
-    """Windows (WIDTH bytes) and labels, bounded by the two sample sizes times the number of labels."""
+def training_windows(docs: DataFrame, folds: int, held: int, sample_docs: int, sample_windows: int, id_column: str, text_column: str, label_column: str, window_budget: int = WINDOW_BUDGET) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows (WIDTH bytes), their positions that are text, and labels; every label has its share of the budget."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.col(label_column).cast("string").alias("label"))
-    rows = rows.where(F.col("label").isNotNull() & (crc_fold("id", folds) != held) & (F.octet_length("text") >= WIDTH))
-    order = F.xxhash64("id", F.octet_length("text"))
-    by_label = Window.partitionBy("label").orderBy("order", "id", "size")
-    chosen = rows.select("label", order.alias("order"), "id", F.octet_length("text").alias("size")).withColumn("k", F.row_number().over(by_label)).where(F.col("k") <= sample_docs)
-    # the chosen few by their order alone: texts are not sorted
-    bounds = {r.label: r.most for r in chosen.groupBy("label").agg(F.max("order").alias("most")).orderBy("label").limit(MOST_LABELS).collect()}
-    if not bounds:
-        return np.zeros((0, WIDTH), np.uint8), []
-    table = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+    rows = rows.where(F.col("label").isNotNull() & (crc_fold("id", folds) != held))
+    languages = rows.select("label").distinct().count()
+    share = max(1, min(sample_docs * sample_windows, window_budget // max(languages, 1)))
+    sample_windows = min(sample_windows, share)
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumns({"order": F.xxhash64("id", F.octet_length("text")), "mark": F.xxhash64("text")})
+    by_label = Window.partitionBy("label").orderBy("order", "mark")
+    # the chosen few by their hashes alone: texts are not sorted, and repeated rows are one
+    chosen = rows.select("label", "order", "mark").distinct().withColumn("k", F.row_number().over(by_label)).where(F.col("k") <= share // sample_windows).drop("k")
 
     def draw(columns: dict) -> dict:
-        out: dict = {"label": [], "place": [], "body": []}
+        out: dict = {"label": [], "place": [], "body": [], "used": []}
         for i, text, label in zip(columns["id"], columns["text"], columns["label"]):
             data = lowered(text)
             rng = np.random.default_rng(zlib.crc32(str(i).encode()))
-            for k, at in enumerate(rng.integers(0, len(data) - WIDTH + 1, sample_windows).tolist()):
+            places = rng.integers(0, max(len(data) - WIDTH, 0) + 1, sample_windows).tolist()
+            if sample_windows > 1:
+                places[-1] = (len(data) - 1) // WIDTH * WIDTH
+            for k, at in enumerate(places):
+                body = data[at : at + WIDTH]
                 out["label"].append(label)
                 out["place"].append(f"{i}:{k}")
-                out["body"].append(data[at : at + WIDTH])
+                out["body"].append(body.ljust(WIDTH, b" "))
+                out["used"].append(len(body))
         return out
 
     small_batches(docs.sparkSession)
-    few = rows.where(order <= table[F.col("label")])
-    drawn = map_columns(few, draw, "label string, place string, body binary").orderBy("label", "place", "body").limit(sample_docs * sample_windows * MOST_LABELS).collect()
-    return np.frombuffer(b"".join(bytes(r.body) for r in drawn), dtype=np.uint8).reshape(-1, WIDTH), [r.label for r in drawn]
+    few = rows.join(F.broadcast(chosen), ["label", "order", "mark"], "left_semi").select("id", "text", "label")
+    # repeated rows draw the same windows
+    drawn = map_columns(few, draw, "label string, place string, body binary, used int").distinct().orderBy("label", "place", "body").collect()
+    data = np.frombuffer(b"".join(bytes(r.body) for r in drawn), dtype=np.uint8).reshape(-1, WIDTH)
+    return data, np.array([r.used for r in drawn], dtype=np.int64), [r.label for r in drawn]
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, epochs: int = 10, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Network | None:
-    data, labels = training_windows(docs, folds, held, sample_docs, sample_windows, id_column, text_column, label_column)
+def train(docs: DataFrame, folds: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, epochs: int = 10, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", window_budget: int = WINDOW_BUDGET) -> Network | None:
+    data, used, labels = training_windows(docs, folds, held, sample_docs, sample_windows, id_column, text_column, label_column, window_budget)
     if not labels:
         return None
     names = sorted(set(labels))
     index = {x: i for i, x in enumerate(names)}
-    return Network(names).fit(data, np.array([index[x] for x in labels]), epochs=epochs).small()
+    return Network(names).fit(data, np.array([index[x] for x in labels]), epochs=epochs, used=used).small()
 
 
 def predict(docs: DataFrame, net: Network | None, folds: int = 5, held: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
