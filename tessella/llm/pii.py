@@ -32,6 +32,8 @@ LABELS = ("other", *KINDS)
 #: Words of a block of a long run (a power of two), and of the runs that are decoded at once.
 BLOCK, STEP = 64, 1 << 18
 CACHE_ENTRIES = 200_000
+#: Longer words are not kept in caches, which are bounded by entries.
+LONG_WORD = 200
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -97,8 +99,6 @@ EDGES = ".,;:!?\"'()[]{}<>*&%$#|"
 def signature(word: str) -> tuple[str, str]:
     """(shape with runs of letters as one sign, cue word or nothing): all that features depend on."""
     data = word.encode("utf-8", "surrogatepass")
-    if len(data) > 200:
-        data = data[:100] + data[-100:]
     shape = LETTERS.sub(rb"\1\2", data.translate(SHAPES)).decode("ascii")
     cue = word.strip(EDGES).lower() if len(word) < 12 else ""
     return shape, cue if cue in CUES else ""
@@ -224,6 +224,9 @@ class Field:
         out = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
         for i in np.flatnonzero(out < 0).tolist():
             w = words[i]
+            if len(w) > LONG_WORD:
+                out[i] = self.set_of(word_features(*signature(w)))
+                continue
             if w not in known:
                 known[w] = self.signed(signature(w))
             out[i] = known[w]
@@ -337,8 +340,8 @@ class Field:
         filling = np.full(len(LABELS), -1e9, dtype=np.float32)
         filling[0] = 0
         lengths, width = ends - starts, 4
-        while width <= BLOCK:
-            mine = np.flatnonzero((lengths > width // 2 if width > 4 else lengths > 0) & (lengths <= width))
+        while width <= BLOCK:  # one filling word at least
+            mine = np.flatnonzero((lengths >= width // 2 if width > 4 else lengths > 0) & (lengths < width))
             for at in range(0, len(mine), STEP // width):
                 some = mine[at : at + STEP // width]
                 place = starts[some][:, None] + np.arange(width)[None, :]
@@ -347,9 +350,9 @@ class Field:
                 found = self.viterbi(np.where(inside[:, :, None], scores[place], filling))
                 labels[place[inside]] = found[inside]
             width *= 2
-        for i in np.flatnonzero(lengths > BLOCK).tolist():
+        for i in np.flatnonzero(lengths >= BLOCK).tolist():
             run = scores[starts[i] : ends[i]]
-            run = np.concatenate([run, np.tile(filling, (-len(run) % BLOCK, 1))])
+            run = np.concatenate([run, np.tile(filling, (BLOCK - len(run) % BLOCK, 1))])
             labels[starts[i] : ends[i]] = self.viterbi_long(run)[: lengths[i]]
 
 
