@@ -178,8 +178,17 @@ class TokenClusters:
         return self
 
     def saliency(self, tokens: DataFrame, height: int, width: int) -> DataFrame:
-        """Maps resized to the patch: (row_idx, y, x, v)."""
+        """Maps resized to the patch: (row_idx, y, x, v); bilinear values, as bytes of an image, round to the nearest."""
         maps = self.maps(tokens)
         size = tokens.sparkSession.range(height * width).select(F.floor(F.col("id") / width).alias("oy"), (F.col("id") % width).alias("ox"))
-        at = size.select("oy", "ox", F.floor(F.col("oy") * self.grid / height).alias("y"), F.floor(F.col("ox") * self.grid / width).alias("x"))
-        return maps.join(F.broadcast(at), ["y", "x"]).select("row_idx", F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
+        if self.mode == "nearest":
+            at = size.select("oy", "ox", F.floor(F.col("oy") * self.grid / height).alias("y"), F.floor(F.col("ox") * self.grid / width).alias("x"))
+            return maps.join(F.broadcast(at), ["y", "x"]).select("row_idx", F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
+        # half-pixel centres, edges clamped; each pixel takes four cells by their weights
+        place = lambda c, n: F.greatest(F.least((F.col(c) + 0.5) * (self.grid / n) - 0.5, F.lit(self.grid - 1.0)), F.lit(0.0))
+        four = size.withColumns({"sy": place("oy", height), "sx": place("ox", width)}).select("*", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("n"))
+        share = lambda c, side: F.when(side == 1, F.col(c) - F.floor(c)).otherwise(1 - (F.col(c) - F.floor(c)))
+        cell = lambda c, side: F.least(F.floor(c) + side, F.lit(self.grid - 1))
+        at = four.select("oy", "ox", cell("sy", F.col("n.a")).alias("y"), cell("sx", F.col("n.b")).alias("x"), (share("sy", F.col("n.a")) * share("sx", F.col("n.b"))).alias("w")).where("w > 0")
+        sums = maps.join(F.broadcast(at), ["y", "x"]).groupBy("row_idx", "oy", "ox").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+        return sums.select("row_idx", F.col("oy").alias("y"), F.col("ox").alias("x"), F.floor(F.round("v", 9) + 0.5).alias("v"))
