@@ -169,17 +169,44 @@ def extract_pixels(patches: DataFrame, pixels: DataFrame, tile: int = 448) -> Da
     return hit.select("image", "row_idx", "c", (F.col("y") - F.col("ymin")).alias("py"), (F.col("x") - F.col("xmin")).alias("px"), "v")
 
 
-def nearest_vertices(left: DataFrame, right: DataFrame) -> DataFrame:
+def vertices(rings: DataFrame) -> DataFrame:
+    """(shape, place, x, y) of rings (shape, points: array of (x, y))."""
+    return rings.select("shape", F.posexplode("points").alias("place", "p")).select("shape", F.col("place").cast("long").alias("place"), "p.x", "p.y")
+
+
+def nearest_vertices(left: DataFrame, right: DataFrame, levels: int = 20) -> DataFrame:
     """(shape, i, j, distance): the closest vertices of two rings of a shape, the first pair on ties.
 
-    Both have shape and points, an array of (x, y); a shape's pairs are compared inside its row and never
-    become rows of a shuffle.
+    Both are vertex rows (shape, place, x, y), or rings (shape, points: array of (x, y)); i and j are positions in
+    the order of ``place``. Vertices on one spot are merged first; rings that share a spot need no more. For the
+    others each shape's extent is halved ``levels`` times at most: the finest cells in which both rings have a
+    vertex bound the distance by their diagonal, so only cells two steps apart at most are joined. No ring is held
+    in one row or task. Null coordinates never pair, but count as positions; a shape without a pair has no row.
     """
-    both = left.select("shape", F.col("points").alias("p")).join(right.select("shape", F.col("points").alias("q")), "shape")
-    square = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
-    pair = lambda a, i: F.array_min(F.transform("q", lambda b, j: F.struct(square(a, b).cast("double").alias("d"), i.alias("i"), j.alias("j"))))
-    best = both.select("shape", F.array_min(F.transform("p", pair)).alias("b")).where("b IS NOT NULL")
-    return best.select("shape", F.col("b.i").cast("long").alias("i"), F.col("b.j").cast("long").alias("j"), F.sqrt("b.d").alias("distance"))
+    left, right = (vertices(t) if "points" in t.columns else t.select("shape", "place", "x", "y") for t in (left, right))
+    spots = lambda t, name: t.where("x IS NOT NULL AND y IS NOT NULL").groupBy("shape", "x", "y").agg(F.min("place").alias(name))
+    a, b = spots(left, "p"), spots(right, "q")
+    same = a.join(b, ["shape", "x", "y"]).groupBy("shape").agg(F.min(F.struct(F.lit(0.0).alias("d"), "p", "q")).alias("best"))
+    a, b = (t.join(same.select("shape"), "shape", "left_anti") for t in (a, b))
+
+    both = a.select("shape", "x", "y", F.lit(1).alias("side")).unionByName(b.select("shape", "x", "y", F.lit(2).alias("side")))
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double")
+    extents = both.groupBy("shape").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), span.alias("span"), F.bit_or("side").alias("sides")).where("sides = 3").drop("sides")
+    cell = lambda c, level: F.least(F.floor((F.col(c) - F.col(c + "0")) / F.col("span") * F.pow(F.lit(2.0), level)).cast("long"), (F.pow(F.lit(2.0), level) - 1).cast("long"))
+    at_levels = both.join(extents, "shape").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    shared = at_levels.groupBy("shape", "level", cell("x", F.col("level")).alias("cx"), cell("y", F.col("level")).alias("cy")).agg(F.bit_or("side").alias("sides")).where("sides = 3")
+    scales = extents.join(shared.groupBy("shape").agg(F.max("level").alias("level")), "shape")
+
+    placed = lambda t: t.join(scales, "shape").withColumns({"cx": cell("x", F.col("level")), "cy": cell("y", F.col("level"))})
+    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3)))
+    near = placed(b).select("shape", F.col("x").alias("u"), F.col("y").alias("v"), "q", "cx", "cy", F.explode(around).alias("o"))
+    near = near.select("shape", "u", "v", "q", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+    square = ((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))).cast("double")
+    apart = placed(a).join(near, ["shape", "cx", "cy"]).groupBy("shape").agg(F.min(F.struct(square.alias("d"), "p", "q")).alias("best"))
+
+    best = same.unionByName(apart).select("shape", "best.*")
+    number = lambda t, name, out: best.join(t, "shape").groupBy("shape").agg(F.sum((F.col("place") < F.col(name)).cast("long")).alias(out))
+    return best.join(number(left, "p", "i"), "shape").join(number(right, "q", "j"), "shape").select("shape", "i", "j", F.sqrt("d").alias("distance"))
 
 
 def contour_holes(contours: DataFrame) -> DataFrame:

@@ -541,7 +541,7 @@ RINGS = "SELECT label AS shape, (vec_id * 7919 % 101)::BIGINT AS x, (vec_id * 10
 @query(f"WITH r AS ({RINGS}), c AS (SELECT a.shape, a.k AS i, b.k AS j, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS s FROM r a JOIN r b ON a.shape = b.shape AND a.side = 0 AND b.side = 1) SELECT shape, i, j, round(sqrt(s), 6) AS distance FROM c QUALIFY row_number() OVER (PARTITION BY shape ORDER BY s, i, j) = 1")
 def q_nearest_vertices(spark, d):
     rows = table(spark, d, "embeddings").selectExpr("label AS shape", "vec_id", "vec_id % 2 AS side", "vec_id * 7919 % 101 AS x", "vec_id * 104729 % 97 AS y")
-    ring = lambda side: rows.where(F.col("side") == side).groupBy("shape").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    ring = lambda side: rows.where(F.col("side") == side).select("shape", F.col("vec_id").alias("place"), "x", "y")
     return G.nearest_vertices(ring(0), ring(1)).select("shape", "i", "j", r6("distance"))
 
 
