@@ -6,11 +6,15 @@ linkage of their k x k distances runs on the driver; everything over rows stays
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import features as A
 
@@ -119,33 +123,157 @@ def cosine_distances(rows: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.row_idx") < F.col("b.row_idx")).select(F.col("a.row_idx").alias("i"), F.col("b.row_idx").alias("j"), (1 - A.dot(F.col("a.v"), F.col("b.v"))).alias("distance"))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column without nulls as a matrix."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1.0, norm)
+
+
+def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :], 0.0)
+
+
 @dataclass
 class FrequencyRankedKMeans:
-    """KMeans whose labels are renumbered by falling frequency in the fitted rows."""
+    """KMeans whose labels are renumbered by falling frequency in the fitted rows.
+
+    Every pass is one Arrow map over the whole table: a task adds up its rows by centre, and the sums are combined
+    in Spark, so the driver sees k rows of numbers whatever the table's size. Starts are drawn by k-means|| (rows
+    with odds by their distance from the starts so far, weighed by the rows nearest to each, then k-means++ of
+    those on the driver). Passes end when the centres' squared shift is at most ``tolerance`` times the mean
+    variance, or after ``most_passes``. Rows without a vector are left out of the fit and have a null label.
+    """
 
     k: int = 25
     normalise: bool = True
     seed: int = 0
     centroids: list[list[float]] | None = None
-
-    def _vector(self) -> Column:
-        return A.l2_normalised(F.col("vec")) if self.normalise else F.col("vec")
+    tolerance: float = 1e-4
+    most_passes: int = 20
+    rounds: int = 3
+
+    def _read(self, column: pa.Array) -> np.ndarray:
+        x = matrix(column)
+        return unit_rows(x) if self.normalise else x
+
+    def _sums(self, rows: DataFrame, centres: np.ndarray, width: int) -> np.ndarray:
+        """(centres, width + 3): sums of the rows nearest to each centre, their count, squared distances and norms."""
+        read = self._read
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(centres), width + 3))
+            for batch in batches:
+                x = read(batch.column(0))
+                if not len(x):
+                    continue
+                d = squared_distances(x, centres)
+                near = d.argmin(axis=1)
+                hot = np.zeros((len(centres), len(x)))
+                hot[near, np.arange(len(x))] = 1
+                total[:, :width] += hot @ x
+                total[:, width] += hot.sum(axis=1)
+                total[:, width + 1] += hot @ d[np.arange(len(x)), near]
+                total[:, width + 2] += hot @ (x * x).sum(axis=1)
+            for at in range(0, len(centres), 512):
+                part = total[at : at + 512]
+                place = np.arange(at * total.shape[1], (at + len(part)) * total.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part.reshape(-1))], names=["place", "total"])
+
+        added = rows.mapInArrow(run, "place long, total double").groupBy("place").agg(F.sum("total").alias("total")).toArrow()
+        out = np.zeros(len(centres) * (width + 3))
+        out[added["place"].to_numpy()] = added["total"].to_numpy()
+        return out.reshape(len(centres), -1)
+
+    def _drawn(self, rows: DataFrame, centres: np.ndarray, cost: float, turn: int) -> np.ndarray:
+        """About 2 k rows, with odds by squared distance; draws depend on the seed, the task and the round."""
+        read, odds, seed = self._read, 2.0 * self.k / cost, self.seed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rng = np.random.default_rng((seed, turn, TaskContext.get().partitionId()))
+            for batch in batches:
+                x = read(batch.column(0))
+                if len(x):
+                    some = x[rng.random(len(x)) < odds * squared_distances(x, centres).min(axis=1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some.tolist(), pa.list_(pa.float64()))], names=["vec"])
+
+        found = rows.mapInArrow(run, "vec array<double>").distinct().toArrow()["vec"].to_pylist()
+        return np.array(sorted(found)).reshape(-1, centres.shape[1])
+
+    def _starts(self, rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
+        """Start centres, and the mean variance of a component."""
+        first = rows.agg(F.min_by("vec", F.xxhash64(F.lit(self.seed), "vec"))).toArrow().column(0).combine_chunks()
+        candidates = self._read(first)
+        variance = 0.0
+        for turn in range(self.rounds):
+            sums = self._sums(rows, candidates, width)
+            if not turn:
+                n = sums[:, width].sum()
+                mean = sums[:, :width].sum(axis=0) / n
+                variance = max(sums[:, width + 2].sum() / n - float(mean @ mean), 0.0) / width
+            cost = sums[:, width + 1].sum()
+            if cost <= 1e-12 * max(1.0, sums[:, width + 2].sum()):
+                break
+            candidates = np.unique(np.vstack([candidates, self._drawn(rows, candidates, cost, turn)]), axis=0)
+        weights = self._sums(rows, candidates, width)[:, width]
+        rng = np.random.default_rng(self.seed)
+        chosen = [int(weights.argmax())]
+        while len(chosen) < min(self.k, len(candidates)):
+            far = squared_distances(candidates, candidates[chosen]).min(axis=1) * weights
+            far[chosen] = 0
+            if far.sum() <= 0:
+                break
+            # the best of a few draws, by the cost it leaves
+            draws = np.unique(rng.choice(len(candidates), 2 + int(np.log(self.k + 1)), p=far / far.sum()))
+            chosen.append(min(draws.tolist(), key=lambda c: float((squared_distances(candidates, candidates[[*chosen, c]]).min(axis=1) * weights).sum())))
+        centres = candidates[chosen]
+        for _ in range(10):  # Lloyd's steps over the weighted candidates
+            near = squared_distances(candidates, centres).argmin(axis=1)
+            hot = np.eye(len(centres))[near] * weights[:, None]
+            size = hot.sum(axis=0)
+            centres = np.where(size[:, None] > 0, hot.T @ candidates / np.maximum(size, 1e-300)[:, None], centres)
+        return centres, variance
 
     def fit(self, rows: DataFrame) -> FrequencyRankedKMeans:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        data = rows.select(array_to_vector(self._vector()).alias("features"))
-        found = KMeans(k=self.k, seed=self.seed).fit(data)
-        centres = [list(map(float, c)) for c in found.clusterCenters()]
-        counts = {r.label: r.n for r in found.transform(data).groupBy(F.col("prediction").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.centroids = [centres[i] for i in sorted(range(len(centres)), key=lambda i: (-counts.get(i, 0), i))]
+        """From (row_idx, vec); fewer distinct rows than k give fewer centres, none is an error."""
+        data = rows.select("vec").where("vec IS NOT NULL")
+        widths = data.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        if not widths[1] or widths[0] != widths[1]:
+            raise ValueError("no rows, or vectors of several lengths")
+        width = widths[0]
+        centres, variance = self._starts(data, width)
+        for _ in range(self.most_passes):
+            sums = self._sums(data, centres, width)
+            size = sums[:, width]
+            new = np.where(size[:, None] > 0, sums[:, :width] / np.maximum(size, 1)[:, None], centres)
+            shift = float(((new - centres) ** 2).sum())
+            centres = new
+            if shift <= self.tolerance * variance:
+                break
+        size = self._sums(data, centres, width)[:, width]
+        self.centroids = [centres[i].tolist() for i in np.lexsort((np.arange(len(centres)), -size)).tolist()]
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``label``, the nearest centre; ties go to the lowest number, a null vector has none."""
         if self.centroids is None:
             raise RuntimeError("fit first")
-        return rows.withColumn("label", A.nearest_centroid(self._vector(), self.centroids))
+        rows = rows.drop("label")
+        at, read, centres = rows.columns.index("vec"), self._read, np.array(self.centroids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = np.flatnonzero(batch.column(at).is_valid().to_numpy(zero_copy_only=False))
+                labels = np.full(len(batch), -1)
+                if len(known):
+                    labels[known] = squared_distances(read(batch.column(at).drop_null()), centres).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.int64(), mask=labels < 0)], names=[*batch.schema.names, "label"])
+
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("label", LongType())]))
 
 
 @dataclass
