@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-A run of 16 or more key characters with letters and digits is a candidate; where base spans cover part of it, each
+A run of 16 or more key characters with letters is a candidate; where base spans cover part of it, each
 rest of that length is one. Text of any language packs several characters into a token of a public vocabulary, a
-random string few: under ``MOST_CHARS`` characters a token (``MOST_CHARS_SHORT`` under 20 characters) the candidate is
-reported, unless it is a known kind of digest or identifier (hex of a digest's length, a UUID, a name with a number,
-numbers alone). Where the whole isn't reported, its parts between separators are tested alike.
+random string few: under ``MOST_CHARS`` characters a token (``MOST_CHARS_SHORT`` under 20 characters or without a digit) the
+candidate is reported, unless it is a known kind of digest or identifier (hex of a digest's length, a UUID, a name with a
+number, words of one case, numbers alone). Where the whole isn't reported, its parts between separators are tested alike.
 
 Base kinds are those of the contract; their spans are whole matches in code points. One scan, no shuffle.
 All patterns take linear time on long runs.
@@ -44,11 +44,13 @@ PART = re.compile("[A-Za-z0-9+]{%d,}" % LEAST)
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile("[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 HEX_ONLY = re.compile("[0-9A-Fa-f]+")
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 #: Words and numbers joined by signs: file names, paths, slugs, dates.
-NAME = re.compile("[+/_=-]*(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[+/_=-]*|[A-Za-z][a-z]*[0-9]+|[A-Z]+[0-9]+")
+#: A part matches one alternative only, so a run is read once.
+NAME = re.compile("[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[+/_=-]*|(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]+")
 #: Characters a token; prose of the four languages is over 2.2, base-62 noise at 1.3 to 1.7.
 MOST_CHARS = 2.0
-#: The same for runs of under ``SHORT`` characters: under 1.75, 99.5 % of random base-62 runs of 16 to 19
+#: The same for runs of under ``SHORT`` characters and for letters alone: under 1.75, 99.5 % of random base-62 runs of 16 to 19
 #: characters (93.5 % in lower case) are found, and 9 of 166 such words in Python library files, two of them keys.
 MOST_CHARS_SHORT, SHORT = 1.75, 20
 
@@ -90,11 +92,12 @@ def apart(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def is_random(run: str, most_chars: float, most_chars_short: float) -> bool:
-    if len(run) < LEAST or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if len(run) < LEAST or not LETTER.search(run) or NAME.fullmatch(run):
         return False
-    if UUID.fullmatch(run) or len(run) in DIGESTS and HEX_ONLY.fullmatch(run) or NAME.fullmatch(run):
+    if UUID.fullmatch(run) or len(run) in DIGESTS and HEX_ONLY.fullmatch(run):
         return False
-    return len(run) < (most_chars_short if len(run) < SHORT else most_chars) * token_count(run)
+    strict = len(run) < SHORT or not DIGIT.search(run)
+    return len(run) < (most_chars_short if strict else most_chars) * token_count(run)
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], most_chars: float = MOST_CHARS, most_chars_short: float = MOST_CHARS_SHORT) -> list[tuple[int, int, int]]:
