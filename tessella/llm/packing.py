@@ -6,10 +6,11 @@ give each document its offset in the one long stream of ids, and fixed windows o
 sequences. A document that crosses a window's end gets one boundary record (piece) for each window.
 Only the last sequence is padded, so padding is under one window for the whole corpus.
 
-Ids are those of the ``tokenizers`` file; special-token strings in a text are ordinary text. A text is cut at
-single spaces and line ends, where the vocabulary's pre-tokeniser always cuts, and each distinct chunk is
-encoded once: by tiktoken from the same vocabulary as ranks, or by ``tokenizers`` itself where a chunk has
-characters whose classes the two libraries might take from different Unicode versions.
+Ids are those of the untouched ``tokenizers`` file without added special tokens: a special token's own string in
+a text is that token. A text is cut at single spaces and line ends, where the vocabulary's pre-tokeniser always
+cuts, and each distinct chunk is encoded once: by tiktoken from the same vocabulary as ranks, or by ``tokenizers``
+itself where a chunk has characters whose classes the two libraries might take from different Unicode versions.
+Texts with a special token's string, and those that can't be cut so, go through ``tokenizers`` whole.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed again; ties don't arise,
 as every row has its own place; an empty table gives no pieces; clashing column names are not read.
@@ -31,8 +32,8 @@ from ._common import documents, map_columns, small_batches, stage
 
 WINDOW = 1024
 END_ID = 0
-#: Distinct chunks kept in a worker; past it the memory is emptied.
-CACHE_ENTRIES = 600_000
+#: Bytes, about, of the chunks kept in a worker; past it the memory is emptied. Longer chunks are not kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 160 << 20, 200, 200
 #: Chunks with code points below this are classed alike by every Unicode version either library may use.
 SETTLED = 0x0250
 
@@ -45,17 +46,23 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
+        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         owner = self
 
         class Chunks(dict):
+            held = 0
+
             def __missing__(self, chunk: str) -> bytes | None:
-                if len(self) >= CACHE_ENTRIES:
-                    self.clear()
-                found = self[chunk] = owner.chunk_ids(chunk)
+                found = owner.chunk_ids(chunk)
+                if len(chunk) <= LONG_CHUNK:
+                    self.held += ENTRY_BYTES + len(chunk) + len(found or b"")
+                    if self.held > CACHE_BYTES:
+                        self.clear()
+                        self.held = 0
+                    self[chunk] = found
                 return found
 
         self.chunks = Chunks()
@@ -77,7 +84,7 @@ class CachedEncoder:
         if not text:
             return b""
         first, *rest = text.replace("\n", " \n").split(" ")
-        if not first:
+        if not first or any(token in text for token in self.special):
             return self.whole(text)
         try:
             if any(c.isspace() for c in first):
@@ -127,7 +134,7 @@ def pack(docs: DataFrame, window: int = WINDOW, encoder: Callable = public_encod
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
     spark = docs.sparkSession
     table = stage(tokenised(docs, encoder, id_column, text_column), "pack-ids")
-    # one row for each partition of the scan, whatever it holds
+    # one row for each partition of the scan, whatever it holds: 16 bytes each on the driver and in the broadcast
     totals = sorted((r["part"], r["total"]) for r in table.groupBy("part").agg(F.sum("doc_tokens").alias("total")).collect())
     offsets, at = [], 0
     for part, total in totals:
@@ -153,7 +160,11 @@ def pack(docs: DataFrame, window: int = WINDOW, encoder: Callable = public_encod
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: the documents' pieces in sequences of at most 1024 ids, by digest."""
+    """Pipeline stage: the documents' pieces in sequences of at most 1024 ids, by digest.
+
+    Null and empty texts are their end id alone, repeated rows and shared or null ids are packed row by row, an
+    empty table gives no rows; only the columns doc_id and text are read, whatever others are called.
+    """
     return pack(docs).drop("ids")
 
 
