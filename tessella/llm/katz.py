@@ -1,9 +1,11 @@
 """Katz backoff scoring with Good-Turing discounts (bigrams over unigrams over one unknown class).
 
-Documents are staged as compressed chunks of bounded size. Words, and later word pairs, are counted in each
-chunk first and go to shards as packed arrays: what a chunk sends is at once its counts and its request, and a
-shard answers with the merged counts in the order of the request. The merged tables, partitioned by shard, stay
-as the model. Three passes over the chunks:
+Documents are split into words once and staged as compressed chunks of bounded size: a chunk's own vocabulary, in
+the order of the words' digests, and its tokens as places in that vocabulary. Words, and later word pairs, are
+counted in each chunk first and go to shards as packed arrays: what a chunk sends is at once its counts and its
+request, and a shard answers with the merged counts in the order of the request. A shard of words is a range of
+digests, so its answers are a stretch of the vocabulary. The merged tables, partitioned by shard, stay as the
+model. Three passes over the chunks:
 
 1. words: shards give every word an id and its count in training documents;
 2. pairs: shards, by context word, merge pair counts and keep for each context what its backoff weight takes
@@ -26,9 +28,11 @@ class; an empty table gives no rows; other columns are not read; very long texts
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -43,8 +47,10 @@ from ._common import LOWER, documents, release_shuffles, small_batches, stage
 
 TOP = 5  # counts up to this are discounted
 CHUNK_BYTES = 8 << 20
-#: Distinct pairs of a shard, about.
-SHARD_PAIRS = 1_500_000
+#: Distinct pairs of a shard, about, and compressed bytes of the words sent to one.
+SHARD_PAIRS, SHARD_WORD_BYTES = 1_500_000, 4 << 20
+#: Chunks that one task scores, one after the other.
+TASK_CHUNKS = 4
 BEGIN, END, FIRST_ID = 0, 1, 2
 HOT_SHARE = 1000
 
@@ -83,6 +89,37 @@ def in_training(doc_id: int | None, folds: int, held: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds != held
 
 
+def numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words in the order of their digests, words a text, places of all tokens)."""
+    numbers = Numbers()
+    parts = []
+    for text in texts:
+        words = text.split()
+        parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+    words = list(numbers)
+    order = np.argsort(digests(words), kind="stable")
+    place = np.empty(len(words), dtype=np.uint32)
+    place[order] = np.arange(len(words), dtype=np.uint32)
+    tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return [words[i] for i in order.tolist()], np.array([len(p) for p in parts], dtype=np.uint32), place[tokens]
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+
+
+def shard_of(digest: np.ndarray, shards: int) -> np.ndarray:
+    """Equal ranges of digests."""
+    return ((digest >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunked(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -90,10 +127,10 @@ def chunked(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str)
         size, number, part = 0, 0, TaskContext.get().partitionId()
 
         def chunk() -> pa.RecordBatch:
-            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            words, sizes, tokens = numbered(texts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 24 | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.compress(lengths.tobytes() + b"".join(texts), 3)])],
-                names=["chunk", "ids", "body"],
+                [pa.array([part << 24 | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.compress(b" ".join(words), 3)]), pa.array([pack(sizes, tokens)])],
+                names=["chunk", "ids", "words", "body"],
             )
 
         for batch in batches:
@@ -102,51 +139,42 @@ def chunked(docs: DataFrame, chunk_bytes: int, id_column: str, text_column: str)
                 if texts and size + len(data) > chunk_bytes:
                     yield chunk()
                     ids, texts, size, number = [], [], 0, number + 1
+                    give_back()
                 ids.append(doc_id)
                 texts.append(data)
                 size += len(data)
         if texts:
             yield chunk()
+        ids, texts = [], []
+        give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "chunk long, ids array<long>, body binary")
+    return rows.mapInArrow(run, "chunk long, ids array<long>, words binary, body binary")
 
 
 class Chunk:
     """One chunk's documents as one array of word numbers, with what follows from it."""
 
-    def __init__(self, ids: list, body: bytes, shards: int, folds: int, held: int):
-        data = zstandard.decompress(body)
+    def __init__(self, ids: list, body: bytes, folds: int, held: int):
         self.ids = ids
-        lengths = np.frombuffer(data, dtype=np.int64, count=len(ids))
-        at = 8 * len(ids)
-        numbers = Numbers()
-        parts = []
-        for n in lengths.tolist():
-            words = data[at : at + n].split()
-            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
-            at += n
-        self.words = list(numbers)
+        sizes, tokens = unpack(body)
+        self.sizes, self.tokens = sizes.astype(np.int64), tokens.astype(np.int64)
+        self.n_words = int(self.tokens.max()) + 1 if len(self.tokens) else 0
         self.train = np.array([in_training(i, folds, held) for i in ids], dtype=bool)
-        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        token_train = np.repeat(self.train, self.sizes)
-        self.counts = np.bincount(self.tokens[token_train], minlength=len(self.words)).astype(np.uint64)
-        digests = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), dtype=np.uint64, count=len(self.words))
-        self.word_shard = (digests % np.uint64(shards)).astype(np.int64)
+
+    def counts(self) -> np.ndarray:
+        """Each word's count in the chunk's training documents."""
+        return np.bincount(self.tokens[np.repeat(self.train, self.sizes)], minlength=self.n_words).astype(np.uint64)
 
     def take_words(self, answers: dict[int, bytes]) -> None:
-        """ids and corpus counts of the words, from the shards' answers."""
-        self.word_ids = np.zeros(len(self.words), dtype=np.uint64)
-        self.word_counts = np.zeros(len(self.words), dtype=np.uint64)
-        for shard in np.unique(self.word_shard).tolist():
-            mine = np.flatnonzero(self.word_shard == shard)
-            self.word_ids[mine], self.word_counts[mine] = unpack(answers[shard])
+        """ids and corpus counts of the words, from the shards' answers in the order of shards."""
+        got = [unpack(answers[shard]) for shard in sorted(answers)]
+        self.word_ids, self.word_counts = (np.concatenate([np.zeros(0, np.uint64), *(g[i] for g in got)]) for i in (0, 1))
 
     def pair_up(self, shards: int, n_train_docs: int, n_tokens: int) -> None:
         """Distinct pairs, their training counts and shards. Local numbers: words, then begin and end."""
-        n = len(self.words)
+        n = self.n_words
         ends = np.cumsum(self.sizes + 1) - 1
         after = np.full(len(self.tokens) + len(self.ids), n + 1, dtype=np.int64)
         inner = np.ones(len(after), dtype=bool)
@@ -154,18 +182,22 @@ class Chunk:
         after[inner] = self.tokens
         before = np.r_[n, after[:-1]] if len(after) else after
         before[np.r_[0, ends[:-1] + 1]] = n
-        self.keys = before * (n + 2) + after
-        self.doc_of = np.repeat(np.arange(len(self.ids)), self.sizes + 1)
-        self.distinct = np.unique(self.keys)
-        trained, k = np.unique(self.keys[np.repeat(self.train, self.sizes + 1)], return_counts=True)
-        self.pair_counts = np.zeros(len(self.distinct), dtype=np.uint64)
-        self.pair_counts[np.searchsorted(self.distinct, trained)] = k
+        keys = before * (n + 2) + after
+        # one sort gives the distinct pairs and each token's place among them
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
+        self.distinct = ordered[new]
+        self.place = np.empty(len(keys), dtype=np.int32)
+        self.place[order] = np.cumsum(new) - 1
+        self.doc_of = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes + 1)
+        self.pair_counts = np.bincount(self.place[np.repeat(self.train, self.sizes + 1)], minlength=len(self.distinct)).astype(np.uint64)
         self.all_ids = np.r_[self.word_ids, np.array([BEGIN, END], dtype=np.uint64)]
         self.all_counts = np.r_[self.word_counts, np.array([n_train_docs] * 2, dtype=np.uint64)]
         self.first, self.second = np.divmod(self.distinct, n + 2)
         self.hot = is_hot(self.all_counts, n_tokens)
         by = np.where(self.hot[self.first], self.all_ids[self.second], self.all_ids[self.first])
-        self.pair_shard = (by * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
+        self.pair_shard = ((by * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
 def is_hot(counts: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -189,13 +221,13 @@ def rows_out(rows: list[tuple]) -> pa.Table:
 
 def send_words(batches: Iterator[pa.RecordBatch], shards: int, folds: int, held: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number, ids, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            chunk = Chunk(ids, body, shards, folds, held)
+        for number, ids, packed, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            words, counts = zstandard.decompress(packed).split(), Chunk(ids, body, folds, held).counts()
+            shard = shard_of(digests(words), shards)
             rows = []
-            for shard in np.unique(chunk.word_shard).tolist():
-                mine = np.flatnonzero(chunk.word_shard == shard)
-                words = zstandard.compress(b" ".join([chunk.words[i] for i in mine.tolist()]), 1)
-                rows.append((shard, number, "words", struct.pack("<q", len(words)) + words + pack(chunk.counts[mine])))
+            for start, size in zip(*runs(shard)):
+                part = zstandard.compress(b" ".join(words[start : start + size]), 1)
+                rows.append((int(shard[start]), number, "words", struct.pack("<q", len(part)) + part + pack(counts[start : start + size])))
             yield from rows_out(rows).to_batches()
 
 
@@ -240,10 +272,10 @@ def answers_of(table: pa.Table, kind: str) -> dict[int, bytes]:
     return {s: b for s, k, b in zip(table["shard"].to_pylist(), table["kind"].to_pylist(), table["body"].to_pylist()) if k == kind}
 
 
-def send_pairs(left: pa.Table, right: pa.Table, word_shards: int, shards: int, folds: int, held: int, n_docs: int, n_tokens: int) -> pa.Table:
+def send_pairs(left: pa.Table, right: pa.Table, shards: int, folds: int, held: int, n_docs: int, n_tokens: int) -> pa.Table:
     rows = []
     for number, ids, body in zip(*(left[c].to_pylist() for c in ("chunk", "ids", "body"))):
-        chunk = Chunk(ids, body, word_shards, folds, held)
+        chunk = Chunk(ids, body, folds, held)
         chunk.take_words(answers_of(right, "answer"))
         chunk.pair_up(shards, n_docs, n_tokens)
         order = np.argsort(chunk.pair_shard, kind="stable")
@@ -327,10 +359,10 @@ def backoff(facts: list[np.ndarray], counts: np.ndarray, d: np.ndarray) -> tuple
     return np.where(counts > 0, weight, 1.0), np.where(counts > 0, divisor, 0.0)
 
 
-def score_chunk(left: pa.Table, right: pa.Table, word_shards: int, shards: int, folds: int, held: int, n_docs: int, unigram: Unigram, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> pa.Table:
+def score_chunk(left: pa.Table, right: pa.Table, shards: int, folds: int, held: int, n_docs: int, unigram: Unigram, d: np.ndarray, hot: dict[int, tuple[float, ...]]) -> pa.Table:
     out: list[list] = [[] for _ in range(7)]
     for ids, body in zip(left["ids"].to_pylist(), left["body"].to_pylist()):
-        chunk = Chunk(ids, body, word_shards, folds, held)
+        chunk = Chunk(ids, body, folds, held)
         chunk.take_words(answers_of(right, "answer"))
         chunk.pair_up(shards, n_docs, unigram.tokens)
         merged = np.zeros(len(chunk.distinct), dtype=np.uint64)
@@ -352,7 +384,7 @@ def score_chunk(left: pa.Table, right: pa.Table, word_shards: int, shards: int,
         below = unigram.probability(chunk.all_counts)
         seen = merged > 0
         pair = np.log10(np.where(seen, discounted(merged, d) / np.maximum(divisor[chunk.first], 1), weight[chunk.first] * below[chunk.second]))
-        place = np.searchsorted(chunk.distinct, chunk.keys)
+        place = chunk.place
         token = chunk.second[place]
         base = np.log10((chunk.all_counts + 0.5) / (unigram.tokens + 0.5 * (unigram.vocabulary + 1)))
         docs = len(ids)
@@ -385,6 +417,15 @@ def summed(table: DataFrame) -> np.ndarray:
     return out
 
 
+def trimmed(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = function(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 class KatzModel:
     """Staged model tables and the few global numbers."""
 
@@ -397,12 +438,12 @@ def katz_scores(docs: DataFrame, folds: int = 5, held: int = 1, id_column: str =
     spark = docs.sparkSession
     chunks = stage(chunked(docs, chunk_bytes, id_column, text_column), "katz-chunks")
     trains = ~F.coalesce(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % folds == held, F.lit(False))
-    facts = chunks.agg(F.count(F.lit(1)).alias("n")).first()
+    facts = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).first()
     n_docs = chunks.select(F.explode("ids").alias("id")).where(trains).count()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    word_shards = max(least, facts.n // 4)
+    word_shards = max(least, (facts.bytes or 0) // SHARD_WORD_BYTES)
     shards = max(least, -(-facts.n * min(chunk_bytes, CHUNK_BYTES) // 10 // SHARD_PAIRS))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    tasks = max(least, facts.n // TASK_CHUNKS)
 
     sent = chunks.mapInArrow(lambda b: send_words(b, word_shards, folds, held), PACKED)
     words = stage(sent.repartition(word_shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(lambda b: merge_words(b, word_shards), PACKED), "katz-words")
@@ -411,19 +452,21 @@ def katz_scores(docs: DataFrame, folds: int = 5, held: int = 1, id_column: str =
     release_shuffles(spark)
 
     def tables(answers: DataFrame):
-        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        """Each chunk beside its answers; tasks grow with the number of chunks, and the texts' words stay behind."""
+        numbers = chunks.select("chunk", "ids", "body")
+        return numbers.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
 
     answers = words.where("kind = 'answer'")
-    send = partial(send_pairs, word_shards=word_shards, shards=shards, folds=folds, held=held, n_docs=n_docs, n_tokens=unigram.tokens)
-    sent = tables(answers).applyInArrow(lambda left, right: send(left, right), PACKED)
+    send = partial(send_pairs, shards=shards, folds=folds, held=held, n_docs=n_docs, n_tokens=unigram.tokens)
+    sent = tables(answers).applyInArrow(trimmed(send), PACKED)
     pairs = stage(sent.repartition(shards, "shard").sortWithinPartitions("shard", "chunk").mapInArrow(lambda b: merge_pairs(b, unigram), PACKED), "katz-pairs")
     d = discounts([int(x) for x in summed(pairs)[: TOP + 1]])
     hot = hot_contexts(pairs, unigram.tokens, words, n_docs)
     release_shuffles(spark)
 
-    evaluate = partial(score_chunk, word_shards=word_shards, shards=shards, folds=folds, held=held, n_docs=n_docs, unigram=unigram, d=d, hot=hot)
+    evaluate = partial(score_chunk, shards=shards, folds=folds, held=held, n_docs=n_docs, unigram=unigram, d=d, hot=hot)
     both = answers.unionByName(pairs.where("kind = 'pairs'"))
-    scores = tables(both).applyInArrow(lambda left, right: evaluate(left, right), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = tables(both).applyInArrow(trimmed(evaluate), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scores, KatzModel(words, pairs, unigram, d, hot, n_docs)
 
 
