@@ -5,8 +5,9 @@ small labelled table (made below from templates by a fixed seed) by gradient asc
 likelihood, forward-backward in numpy. Decoding is Viterbi in numpy batches and gives the best path of the whole
 text: words that are 'other' on every best path, by a bound on moves, part it into runs that are decoded side by
 side, and a long run is decoded by blocks whose totals are joined exactly. A word's features depend on its shape,
-so distinct feature sets are few and their scores are looked up. In what the field labels, forms of the kind are
-kept where no base span overlaps them.
+so distinct feature sets are few and their scores are looked up. Each run of words that the field labels, less what
+base spans cover and signs at its edges, is a span if it passes the check of its kind, or else of another (a Luhn
+sum, a number of digits, an at and a dot); of a run that passes none, the parts that have a form of the kind are.
 
 One scan, no shuffle; all patterns take linear time on long runs.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -32,7 +34,7 @@ LABELS = ("other", *KINDS)
 #: Words of a block of a long run (a power of two), and of the runs that are decoded at once.
 BLOCK, STEP = 64, 1 << 18
 CACHE_ENTRIES = 200_000
-#: Longer words are not kept in caches, which are bounded by entries.
+#: Longer words are not kept in caches, so these are bounded in bytes: 200,000 times 200.
 LONG_WORD = 200
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,7 +102,7 @@ def signature(word: str) -> tuple[str, str]:
     """(shape with runs of letters as one sign, cue word or nothing): all that features depend on."""
     data = word.encode("utf-8", "surrogatepass")
     shape = LETTERS.sub(rb"\1\2", data.translate(SHAPES)).decode("ascii")
-    cue = word.strip(EDGES).lower() if len(word) < 12 else ""
+    cue = word.strip(EDGES).lower()
     return shape, cue if cue in CUES else ""
 
 
@@ -109,7 +111,7 @@ def word_features(shape: str, cue: str) -> tuple[str, ...]:
     core = shape.strip(EDGES)
     short = re.sub(r"(.)\1{4,}", r"\1\1\1\1+", core)
     digits = core.count("d")
-    out = [f"n={min(digits, 14)}", f"shape={short[:24] if digits else core[:12]}"]
+    out = [f"n={min(digits, 14)}", f"shape={short if digits else core}"]
     if digits and all(c in "d()+-./" for c in core):
         out.append("numeric")
     if digits and ("x" in core or "X" in core):
@@ -151,12 +153,12 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[list[tuple[str, int]
     def entity(kind: int) -> list[str]:
         if kind == 1:
             name, host = word(), f"{word()}.{rng.choice(['com', 'org', 'net'])}"
-            return rng.choice([[f"{name}@{host}"], [f"{name}.{digits(2)}@{host}"], [name, rng.choice(["[at]", "(at)"]), word(), rng.choice(["[dot]", "(dot)"]), "com"]])
+            return rng.choice([[f"{name}@{host}"], [f"{name}.{digits(2)}@{host}"], [name, rng.choice(["[at]", "(at)"]), word(), rng.choice(["[dot]", "(dot)"]), "com"], [name + (at := rng.choice(["(at)", "[at]"])) + word() + at.replace("at", "dot") + "org"], [name, "@", word(), ".", "net"]])
         if kind == 2:
             return [rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))])]
         if kind == 3:
             four = [digits(4) for _ in range(4)]
-            return rng.choice([four, ["-".join(four)], [digits(4), digits(6), digits(5)]])
+            return rng.choice([four, ["-".join(four)], [".".join(four)], [digits(4), digits(6), digits(5)]])
         return phone()
 
     table = []
@@ -189,6 +191,7 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self.known = {n.removeprefix("before:").removeprefix("after:") for n in names}
         self.sets: dict[tuple[str, ...], int] = {}
         self.words: dict[str, int] = {}
         self.signatures: dict[tuple[str, str], int] = {}
@@ -197,6 +200,8 @@ class Field:
         self.empty = self.set_of(())
 
     def set_of(self, features: tuple[str, ...]) -> int:
+        """Number of a set of features; those that the model never saw weigh nothing and make no set."""
+        features = tuple(f for f in features if f in self.known)
         if features not in self.sets:
             row = np.zeros((3, len(LABELS)), dtype=np.float32)
             for role, prefix in enumerate(ROLES):
@@ -360,7 +365,7 @@ def train(table: list[list[tuple[str, int]]], rounds: int = 120, rate: float = 0
     """Weights that maximise the conditional likelihood (with a squared penalty), by Adam over the whole table."""
     names: dict[str, int] = {}
     longest = max(len(s) for s in table)
-    width = 3 * 12
+    width = 3 * max(len(word_features(*signature(w))) for s in table for w, _ in s)
     n, k = len(table), len(LABELS)
     index = np.zeros((n, longest, width), dtype=np.int64)
     mask = np.zeros((n, longest), dtype=bool)
@@ -370,7 +375,7 @@ def train(table: list[list[tuple[str, int]]], rounds: int = 120, rate: float = 0
         features = [word_features(*signature(w)) for w, _ in sentence]
         for t, (_, label) in enumerate(sentence):
             found = [names.setdefault(role + f, len(names)) for role, at in zip(ROLES, (t, t - 1, t + 1)) if 0 <= at < len(sentence) for f in features[at]]
-            index[i, t, : len(found[:width])] = found[:width]
+            index[i, t, : len(found)] = found
             mask[i, t], gold[i, t] = True, label
     weights, moves = np.zeros((len(names), k)), np.zeros((k, k))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
@@ -415,6 +420,17 @@ def train(table: list[list[tuple[str, int]]], rounds: int = 120, rate: float = 0
     return names, weights.astype(np.float32), moves.astype(np.float32)
 
 
+def table_of(rows: DataFrame, most_words: int = 1_000_000) -> list[list[tuple[str, int]]]:
+    """A labelled table for ``train`` from rows (sentence, place, word, label: a kind or 'other'); small by its meaning."""
+    some = rows.select("sentence", "place", "word", "label").limit(most_words + 1).collect()
+    if len(some) > most_words:
+        raise ValueError(f"the labelled table has over {most_words} words")
+    sentences: dict = {}
+    for r in sorted(some, key=lambda r: (str(r.sentence), r.place)):
+        sentences.setdefault(r.sentence, []).append((r.word, LABELS.index(r.label)))
+    return list(sentences.values())
+
+
 @cache
 def trained() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     return train(labelled_table())
@@ -428,27 +444,75 @@ FORMS = (
 )
 
 
+AT = re.compile(r"@|[\[({<]at[\])}>]|\x20at\x20", re.I)
+DOT = re.compile(r"\.|[\[({<]dot[\])}>]|\x20dot\x20", re.I)
+IPV6 = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
+NUMBER = re.compile(r"[+(]?[0-9][0-9()\x20./-]*[0-9]")
+EDGE_SIGNS = ".,;:!?\"'<>{}*#|"
+
+
 def plausible(kind: int, run: str) -> bool:
+    """The check of a kind for a whole run."""
+    if kind == 0:
+        at = [m.end() for m in AT.finditer(run)]
+        return len(at) == 1 and DOT.search(run, at[0]) is not None and re.search("[A-Za-z]", run[at[0] :]) is not None
+    if kind == 1:
+        return IPV6.fullmatch(run) is not None and (run.count("::") == 1 or run.count(":") == 7 and "" not in run.split(":"))
     digits = only_digits(run)
-    return kind != 2 or 13 <= len(digits) <= 19 and luhn(digits)
+    if not NUMBER.fullmatch(run):
+        return False
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15 and len(digits) < len(run)
+
+
+def trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    """[start, stop) without white space, signs and lone brackets at its edges."""
+    while start < stop:
+        run = text[start:stop]
+        first, last = run[0], run[-1]
+        if first.isspace() or first in EDGE_SIGNS or (first in "([" and run.count(first) > run.count(")]"["([".index(first)])):
+            start += 1
+        elif last.isspace() or last in EDGE_SIGNS or (last in ")]" and run.count(last) > run.count("(["[")]".index(last)])):
+            stop -= 1
+        else:
+            break
+    return start, stop
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Places that the spans (sorted by start) cover, apart and in order."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def field_spans(text: str, labels: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The kinds' forms in runs of one label, apart from spans taken."""
+    """What the field's runs of one label add to the spans taken (sorted by start)."""
     places = [m.span() for m in WORD.finditer(text)]
-    found, at = [], 0
-    while at < len(labels):
-        end = at + 1
-        while end < len(labels) and labels[end] == labels[at]:
-            end += 1
-        if labels[at]:
-            start, stop = places[at][0], places[end - 1][1]
-            kind = int(labels[at]) - 1
-            for m in FORMS[kind].finditer(text[start:stop]):
-                s, e = start + m.start(), start + m.end()
-                if plausible(kind, m[0]) and not any(x < e and s < y for x, _, y in taken):
-                    found.append((s, kind, e))
-        at = end
+    covered = merged(taken)
+    starts = [s for s, _ in covered]
+    found = []
+    edges = np.flatnonzero(np.diff(np.r_[0, labels, 0])).tolist()
+    for at, end in zip(edges, edges[1:]):
+        if not labels[at]:
+            continue
+        kind, start, stop = int(labels[at]) - 1, places[at][0], places[end - 1][1]
+        k = max(bisect_right(starts, start) - 1, 0)
+        while start < stop:
+            while k < len(covered) and covered[k][1] <= start:
+                k += 1
+            free = min(stop, covered[k][0]) if k < len(covered) else stop
+            s, e = trimmed(text, start, max(start, free))
+            if s < e:
+                right = next((k for k in (kind, *range(len(KINDS))) if plausible(k, text[s:e])), None)
+                if right is not None:
+                    found.append((s, right, e))
+                else:
+                    found += [(s + m.start(), kind, s + m.end()) for m in FORMS[kind].finditer(text[s:e]) if kind != 2 or plausible(kind, m[0])]
+            start = max(free, covered[k][1]) if k < len(covered) else stop
     return found
 
 
