@@ -274,7 +274,15 @@ def training_windows(docs: DataFrame, folds: int, held: int, sample_docs: int, s
     rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumns({"order": F.xxhash64("id", F.octet_length("text")), "mark": F.xxhash64("text")})
     by_label = Window.partitionBy("label").orderBy("order", "mark")
     # the chosen few by their hashes alone: texts are not sorted, and repeated rows are one
-    chosen = rows.select("label", "order", "mark").distinct().withColumn("k", F.row_number().over(by_label)).where(F.col("k") <= share // sample_windows).drop("k")
+    hashes, most = rows.select("label", "order", "mark").distinct(), share // sample_windows
+    # a bound first, from a sketch of each label's hashes that partial aggregates merge: about four times the wanted at most
+    # (or a few ten thousandths of the label) are numbered, wherever a third of all rows may lie
+    parts = [2.0**-k for k in range(14)]
+    sketch = hashes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("order", parts, 10_000).alias("at"))
+    enough = F.greatest(F.lit(0), F.least(F.lit(13), F.floor(-F.log2(2.0 * most / F.col("n") + 2e-4)))).cast("int")
+    bounds = sketch.select("label", F.element_at("at", enough + 1).alias("bound"), (enough == 0).alias("whole"))
+    hashes = hashes.join(bounds, "label").where(F.col("whole") | (F.col("order") <= F.col("bound"))).drop("bound", "whole")
+    chosen = hashes.withColumn("k", F.row_number().over(by_label)).where(F.col("k") <= most).drop("k")
 
     def draw(columns: dict) -> dict:
         out: dict = {"label": [], "place": [], "body": [], "used": []}
