@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WHITESPACE, documents, map_columns, release_shuffles, small_batches, stage
+from ._common import WHITESPACE, documents, fresh, map_columns, release_shuffles, small_batches, stage
 
 MODULI = (2147483647, 2147483629)
 BASES = (1103515245, 1664525007)
@@ -151,20 +151,22 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: documents without the rows that exact_dedup drops; columns as they came.
+    """Pipeline stage: documents without the rows that exact_dedup drops; columns as they came, whatever their names.
 
-    Of equal texts with one id the row with the most code points stays.
+    Null and empty texts are equal, so one of them stays. Of equal texts with one id the row with the most code
+    points stays.
     """
-    verdicts = stage(exact_dedup(docs), "dedup-verdicts")
-    gone = verdicts.where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
+    verdicts = stage(exact_dedup(docs.select("doc_id", "text")), "dedup-verdicts")
+    own, gone_id, gone_sha, number = fresh(docs, "own_sha", "gone_id", "gone_sha", "number")
+    gone = verdicts.where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary"), 256)
-    left = docs.withColumn("__text_sha", sha)
-    kept = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__text_sha") == F.col("__sha")), "left_anti")
+    left = docs.withColumn(own, sha)
+    kept = left.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_sha)), "left_anti")
     repeated = verdicts.where("NOT kept AND doc_id <=> keep_id").limit(1).count()
     if repeated:  # equal texts with one id; the limit by group is taken before the shuffle
-        longest = Window.partitionBy("doc_id", "__text_sha").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc())
-        kept = kept.withColumn("__k", F.row_number().over(longest)).where("__k = 1").drop("__k")
-    return kept.drop("__text_sha")
+        longest = Window.partitionBy("doc_id", own).orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc())
+        kept = kept.withColumn(number, F.row_number().over(longest)).where(F.col(number) == 1).drop(number)
+    return kept.drop(own)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WHITESPACE, documents, map_columns, map_rows, small_batches, stage
+from ._common import WHITESPACE, documents, fresh, map_columns, map_rows, small_batches, stage
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS = 8, 20
@@ -108,15 +108,22 @@ def judge(docs: DataFrame, limit: float = HOST_LIMIT, **columns: str) -> DataFra
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: without the documents that fail the base rules and those of rejected hosts."""
-    rejected = stage(host_verdicts(measures(docs)).where("NOT host_kept").select(F.col("host").alias("__host")), "quality-hosts")
+    """Pipeline stage: without the documents that fail the base rules and those of rejected hosts.
+
+    Null and empty texts fail (under 20 words); repeated rows and shared or null ids are judged row by row; a null
+    source, or no such column, is no host; columns stay as they came, whatever they are called.
+    """
+    known = docs if "source" in docs.columns else docs.withColumn("source", F.lit(None).cast("string"))
+    (host,) = fresh(docs, "host")
+    rejected = stage(host_verdicts(measures(known.select("doc_id", "text", "source"))).where("NOT host_kept").select(F.col("host").alias(host)), "quality-hosts")
     at = docs.columns.index("text")
 
     def passing(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = (measure(t) for t in batch.column(at).to_pylist())
         return batch.filter(pa.array([not base_fails(r[0], r[4]) for r in rows], pa.bool_()))
 
-    return map_rows(docs, passing).join(rejected, F.col("source").cast("string") == F.col("__host"), "left_anti")
+    kept = map_rows(docs, passing)
+    return kept.join(rejected, kept["source"].cast("string") == rejected[host], "left_anti") if known is docs else kept
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

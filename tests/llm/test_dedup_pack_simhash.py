@@ -153,8 +153,36 @@ def test_near_duplicates(spark):
     want = sorted((r.doc_id, f"{p:016x}", names[g]) for r, p, g in zip(rows, prints, groups))
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    left = simhash.drop_near_copies(spark, docs.dropDuplicates(["doc_id"]))
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(names.values()))
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_the_stage_finds_near_copies_and_leaves_others(spark):
+    """Copies with some words changed: over a similarity of 0.8 in five-word shingles at least 0.8 of them go, over 0.9 nearly all."""
+    rng = np.random.default_rng(4)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text and 150 < len(set(r.text.split())) < 3000]
+    seen, plain = set(), []
+    for t in texts:  # documents that share no shingle with an earlier one
+        own = set(zip(*(t.lower().split()[i:] for i in range(5))))
+        if not own & seen:
+            plain.append(t)
+        seen |= own
+    rows, planted = [(i, t) for i, t in enumerate(plain)], {}
+    for k, t in enumerate(plain * 2):
+        words = t.split(" ")
+        for at in rng.integers(0, len(words), max(1, round(len(words) * rng.uniform(0.002, 0.024)))):
+            words[at] = f"changed{rng.integers(1000)}"
+        rows.append((1000 + k, " ".join(words)))
+        planted[1000 + k] = jaccard(t, rows[-1][1])
+    left = {r.doc_id for r in simhash.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(plain) > 50 and set(range(len(plain))) <= left
+    found = lambda least, most: [i not in left for i, j in planted.items() if least <= j < most]
+    near, closer = found(0.8, 0.9), found(0.9, 2)
+    print(len(near), np.mean(near), len(closer), np.mean(closer))
+    assert len(near) > 15 and np.mean(near) >= 0.75 and len(closer) > 15 and np.mean(closer) >= 0.95
 
 
 def test_near_copies_with_shared_and_missing_ids(spark):
