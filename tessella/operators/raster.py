@@ -7,27 +7,44 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Seeds of one block of the nearest-seed search; more seeds are searched block by block.
-SEED_BLOCK = 4096
+#: Side of the tiles of the nearest-seed search, and how often it is doubled to find the first seeds.
+SEED_TILE, SEED_LEVELS = 16, 24
 
 
 def canvas(spark: SparkSession, height: int, width: int) -> DataFrame:
     return spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
 
 
-def nearest_seed(pixels: DataFrame, seeds: DataFrame, value: str = "label") -> DataFrame:
+def nearest_seed(pixels: DataFrame, seeds: DataFrame, value: str = "label", tile: int = SEED_TILE) -> DataFrame:
     """Pixels with ``nearest``: the value of the seed (x, y, value) nearest to them and its squared distance ``d2``.
 
-    Ties go to the lowest value. Seeds come in blocks held as arrays in one row each; a pixel takes the least of
-    its distances to a block, and the blocks' leasts are combined, so no pixel-seed pairs are ever rows.
+    Ties go to the lowest value; without seeds there are no rows. Pixels are taken by tiles. For each tile cells of
+    doubled sides are tried until one beside it holds a seed; that seed's distance bounds those that can be nearest
+    to any of the tile's pixels, and only they are joined, by tile. Seeds are never broadcast or held in one task.
     """
-    ordered = Window.orderBy("y", "x", value)
-    blocks = seeds.select("x", "y", value).distinct().withColumn("__b", F.floor((F.row_number().over(ordered) - 1) / SEED_BLOCK))
-    blocks = blocks.groupBy("__b").agg(F.collect_list(F.struct("x", "y", F.col(value).alias("v"))).alias("__seeds"))
+    spots = seeds.groupBy("x", "y").agg(F.min(value).alias("v")).withColumns({"__sy": F.floor(F.col("y") / tile), "__sx": F.floor(F.col("x") / tile)})
+    levels = F.explode(F.sequence(F.lit(0), F.lit(SEED_LEVELS))).alias("__l")
+    up = lambda c, level: F.expr(f"shiftright({c}, {level})")  # noqa: E731  (floors, below zero too)
+    cell = ["__l", "__cy", "__cx"]
+    by_level = spots.select("x", "y", "v", "__sy", "__sx", levels).select("x", "y", "v", "__l", up("__sy", "__l").alias("__cy"), up("__sx", "__l").alias("__cx"))
+    around = lambda n: F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-n, n + 1) for dx in range(-n, n + 1)))).alias("__o")
+    beside = lambda t, n: t.select("__ty", "__tx", "__l", around(n)).select("__ty", "__tx", "__l", (up("__ty", "__l") + F.col("__o.dy")).alias("__cy"), (up("__tx", "__l") + F.col("__o.dx")).alias("__cx"))
+
+    placed = pixels.withColumns({"__ty": F.floor(F.col("y") / tile), "__tx": F.floor(F.col("x") / tile)})
+    tiles = placed.select("__ty", "__tx").distinct()
+    first = beside(tiles.select("__ty", "__tx", levels), 1).join(by_level.select(*cell).distinct(), cell).groupBy("__ty", "__tx").agg(F.min("__l").alias("__l"))
+    # a seed in a cell beside lies under two sides away on each axis: nearer ones are at most three cells off
+    pairs = beside(first, 3).join(by_level, cell).select("__ty", "__tx", "x", "y", "v")
+    low = lambda t, c: F.greatest(F.col(t) * tile - F.col(c), F.col(c) - F.col(t) * tile - (tile - 1), F.lit(0))
+    high = lambda t, c: F.greatest(F.abs(F.col(c) - F.col(t) * tile), F.abs(F.col(t) * tile + (tile - 1) - F.col(c)))
+    bound = lambda side: side("__ty", "y") * side("__ty", "y") + side("__tx", "x") * side("__tx", "x")
+    whole = Window.partitionBy("__ty", "__tx")
+    able = pairs.select("*", F.min(bound(high)).over(whole).alias("__most")).where(bound(low) <= F.col("__most"))
+    able = able.groupBy("__ty", "__tx").agg(F.collect_list(F.struct("x", "y", "v")).alias("__seeds"))
     d2 = lambda s: (s.x - F.col("x")) * (s.x - F.col("x")) + (s.y - F.col("y")) * (s.y - F.col("y"))
     least = F.array_min(F.transform("__seeds", lambda s: F.struct(d2(s).alias("d2"), s.v.alias("v"))))
-    found = pixels.join(F.broadcast(blocks)).withColumn("__near", least)
-    return found.groupBy(*pixels.columns).agg(F.min("__near").alias("__near")).select(*pixels.columns, F.col("__near.v").alias("nearest"), F.col("__near.d2").alias("d2"))
+    found = placed.join(able, ["__ty", "__tx"]).select(*pixels.columns, least.alias("__near"))
+    return found.select(*pixels.columns, F.col("__near.v").alias("nearest"), F.col("__near.d2").alias("d2"))
 
 
 def scaled_seeds(samples: DataFrame, height: int, width: int, downsample: int, order: str | None = None) -> DataFrame:
@@ -96,6 +113,25 @@ def normalised_channel(pixels: DataFrame, tiles: DataFrame, tile: int) -> DataFr
     return key.select("y", "x", F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * F.col("mask") * 255).alias("v"))
 
 
+def interpolated_channel(pixels: DataFrame, spark: SparkSession, height: int, width: int, spacing: int, tile: int, low: float = 5.0, high: float = 99.9) -> DataFrame:
+    """A channel (y, x, v, mask) as bytes between its local percentiles.
+
+    log1p of v; percentiles of the tiles of every ``spacing``-th row and column, mirrored to whole tiles; their grid
+    resized bilinearly to the mirrored sample, cut, and resized bilinearly to the raster; then
+    clip((log1p v - low) / (high - low + 1e-5), 0, 1) * mask * 255, truncated.
+    """
+    h, w = -(-height // spacing), -(-width // spacing)
+    logged = pixels.withColumn("v", F.log1p(F.col("v").cast("double")))
+    sample = logged.where(f"y % {spacing} = 0 AND x % {spacing} = 0").select(F.floor(F.col("y") / spacing).alias("y"), F.floor(F.col("x") / spacing).alias("x"), "v")
+    gh, gw = -(-h // tile), -(-w // tile)
+    grid = tile_percentiles(reflect_padded(sample, h, w, tile), tile, low, high).select(F.col("ty").alias("y"), F.col("tx").alias("x"), "low", "high")
+    limits = bilinear(grid, spark, (gh, gw), (gh * tile, gw * tile), ("low", "high")).where((F.col("y") < h) & (F.col("x") < w))
+    if spacing > 1:
+        limits = bilinear(limits, spark, (h, w), (height, width), ("low", "high"))
+    share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low") + 1e-5)
+    return logged.join(limits, ["y", "x"]).select("y", "x", F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * F.col("mask").cast("long") * 255).alias("v"))
+
+
 def integral_cells(pixels: DataFrame, cells: DataFrame, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of v over each cell (x0, y0, size) by two-way prefix sums, and whether it is over the threshold.
 
@@ -110,28 +146,53 @@ def integral_cells(pixels: DataFrame, cells: DataFrame, threshold: float, by: tu
     return total.select(*by, "x0", "y0", "size", mean.alias("mean"), (mean > threshold).alias("active"))
 
 
+def bilinear(pixels: DataFrame, spark: SparkSession, source: tuple[int, int], target: tuple[int, int], values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Bilinear resize of a dense raster with half-pixel centres, edges clamped.
+
+    The source's pixels are first put together by fours, so that each target pixel is one row of one join.
+    """
+    (h, w), (th, tw) = source, target
+    corners = pixels.select(*values, "y", "x", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("n"))
+    corners = corners.withColumns({"y0": F.col("y") - F.col("n.a"), "x0": F.col("x") - F.col("n.b")}).where("y0 >= 0 AND x0 >= 0")
+    corner = lambda c, a, b: F.max(F.when((F.col("n.a") == a) & (F.col("n.b") == b), F.col(c))).alias(f"{c}{a}{b}")
+    corners = corners.groupBy("y0", "x0").agg(*(corner(c, a, b) for c in values for a in (0, 1) for b in (0, 1)))
+    sy = F.greatest(F.least((F.col("y") + 0.5) * (h / th) - 0.5, F.lit(h - 1.0)), F.lit(0.0))
+    sx = F.greatest(F.least((F.col("x") + 0.5) * (w / tw) - 0.5, F.lit(w - 1.0)), F.lit(0.0))
+    out = canvas(spark, th, tw).withColumns({"sy": sy, "sx": sx}).withColumns({"y0": F.floor("sy"), "x0": F.floor("sx")}).join(corners, ["y0", "x0"])
+    fy, fx = F.col("sy") - F.col("y0"), F.col("sx") - F.col("x0")
+    # on the last row and column there is nothing beyond, and its weight is zero
+    at = lambda c, a, b: F.coalesce(f"{c}{a}{b}", F.lit(0.0))
+    mixed = lambda c: (1 - fy) * ((1 - fx) * at(c, 0, 0) + fx * at(c, 0, 1)) + fy * ((1 - fx) * at(c, 1, 0) + fx * at(c, 1, 1))
+    return out.select("y", "x", *(mixed(c).alias(c) for c in values))
+
+
 def resized(pixels: DataFrame, spark: SparkSession, source: tuple[int, int], target: tuple[int, int], linear: bool = False) -> DataFrame:
     """Nearest (floor of the scaled place) or bilinear resize with half-pixel centres, edges clamped."""
+    if linear:
+        return bilinear(pixels, spark, source, target)
     (h, w), (th, tw) = source, target
     out = canvas(spark, th, tw).select(F.col("y").alias("oy"), F.col("x").alias("ox"))
-    if not linear:
-        at = out.withColumns({"y": F.floor(F.col("oy") * h / th), "x": F.floor(F.col("ox") * w / tw)})
-        return at.join(pixels, ["y", "x"]).select(F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
-    sy = F.greatest(F.least((F.col("oy") + 0.5) * (h / th) - 0.5, F.lit(h - 1.0)), F.lit(0.0))
-    sx = F.greatest(F.least((F.col("ox") + 0.5) * (w / tw) - 0.5, F.lit(w - 1.0)), F.lit(0.0))
-    near = out.withColumns({"sy": sy, "sx": sx}).select("*", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("n"))
-    fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
-    weight = F.when(F.col("n.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("n.b") == 1, fx).otherwise(1 - fx)
-    near = near.select("oy", "ox", weight.alias("wt"), F.least(F.floor("sy") + F.col("n.a"), F.lit(h - 1)).alias("y"), F.least(F.floor("sx") + F.col("n.b"), F.lit(w - 1)).alias("x"))
-    return near.join(pixels, ["y", "x"]).groupBy(F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("wt") * F.col("v")).alias("v"))
+    at = out.withColumns({"y": F.floor(F.col("oy") * h / th), "x": F.floor(F.col("ox") * w / tw)})
+    return at.join(pixels, ["y", "x"]).select(F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
 
 
-def neighbourhood(pixels: DataFrame, radius: int, combine: Column) -> DataFrame:
-    """``combine`` (an aggregate of v, with n = rows) over square neighbourhoods; outside pixels are absent."""
-    offset = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = pixels.select(F.col("y").alias("sy"), F.col("x").alias("sx"), "v").withColumn("y", F.explode(F.transform(offset, lambda o: F.col("sy") + o)))
-    spread = spread.withColumn("x", F.explode(F.transform(offset, lambda o: F.col("sx") + o)))
-    return spread.groupBy("y", "x").agg(combine.alias("v")).join(pixels.select("y", "x"), ["y", "x"], "left_semi")
+def resized_cubic(pixels: DataFrame, spark: SparkSession, source: tuple[int, int], target: tuple[int, int], a: float = -0.75) -> DataFrame:
+    """Bicubic resize of a dense raster, half-pixel centres, edges repeated: sixteen taps by one equi-join, summed before the shuffle."""
+    (h, w), (th, tw) = source, target
+
+    def weight(d: Column) -> Column:
+        d = F.abs(d)
+        near = ((a + 2) * d - (a + 3)) * d * d + 1
+        far = ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+        return F.when(d <= 1, near).when(d < 2, far).otherwise(0.0)
+
+    taps = F.sequence(F.lit(-1), F.lit(2))
+    out = canvas(spark, th, tw).select(F.col("y").alias("oy"), F.col("x").alias("ox"), ((F.col("y") + 0.5) * (h / th) - 0.5).alias("sy"), ((F.col("x") + 0.5) * (w / tw) - 0.5).alias("sx"))
+    out = out.select("*", F.explode(taps).alias("j")).select("*", F.explode(taps).alias("i"))
+    py, px = F.floor("sy") + F.col("j"), F.floor("sx") + F.col("i")
+    clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("long")
+    near = out.select("oy", "ox", clamp(py, h).alias("y"), clamp(px, w).alias("x"), (weight(F.col("sy") - py) * weight(F.col("sx") - px)).alias("wt")).where("wt <> 0")
+    return near.join(pixels, ["y", "x"]).groupBy(F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("wt") * F.col("v")).alias("v"))
 
 
 def otsu(pixels: DataFrame, bins: int = 256) -> DataFrame:
@@ -154,21 +215,6 @@ def filled_polygons(spark: SparkSession, polygons: list[tuple[int, list[tuple[in
     return canvas(spark, height, width).withColumn("v", value)
 
 
-def local_entropy(pixels: DataFrame, radius: int) -> DataFrame:
-    """Entropy in bits of the values in each square neighbourhood; outside pixels are absent."""
-    offset = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = pixels.select("v", F.explode(F.transform(offset, lambda o: F.col("y") + o)).alias("y"), "x")
-    spread = spread.select("v", "y", F.explode(F.transform(offset, lambda o: F.col("x") + o)).alias("x"))
-    bins = spread.groupBy("y", "x", "v").agg(F.count(F.lit(1)).alias("n"))
-    found = bins.groupBy("y", "x").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("v"))
-    return found.join(pixels.select("y", "x"), ["y", "x"], "left_semi")
-
-
-def closed(pixels: DataFrame, radius: int) -> DataFrame:
-    """Morphological closing: a square dilation, then a square erosion."""
-    return neighbourhood(neighbourhood(pixels, radius, F.max("v")), radius, F.min("v"))
-
-
 def gaussian_kernel(size: int, sigma: float | None = None) -> list[float]:
     """Weights that sum to one; the usual width for a size where none is given."""
     sigma = sigma or 0.3 * ((size - 1) * 0.5 - 1) + 0.8

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import features as A
+from ..operators import filters as N
 from ..operators import geometry as G
 from ..operators import raster as R
 from ..operators import selection as T
@@ -405,6 +406,58 @@ def q_channel_normalise(spark, d):
     return R.normalised_channel(p.withColumn("mask", F.col("x") % 2), R.tile_percentiles(p, 16, 5, 95), 16)
 
 
+def taps_sql(name: str, source: int, target: int, used: int | None = None) -> str:
+    """Rows (o, i, w): the source places of each target place and their weights in a bilinear resize."""
+    place = f"SELECT o, greatest(least((o + 0.5) * ({source} / {target}.0) - 0.5, {source - 1}), 0) AS s FROM (SELECT unnest(range({used or target})) AS o)"
+    return f"{name} AS (SELECT o, least(floor(s)::BIGINT + k, {source - 1}) AS i, CASE WHEN k = 1 THEN s - floor(s) ELSE 1 - (s - floor(s)) END AS w FROM ({place}), (VALUES (0), (1)) t(k))"
+
+
+DENSE = "dn AS (SELECT g.y, g.x, coalesce(px.v, 0) AS v FROM (SELECT y, x FROM (SELECT unnest(range(37)) AS y), (SELECT unnest(range(53)) AS x)) g LEFT JOIN px ON px.y = g.y AND px.x = g.x)"
+
+
+def dense_pixels(spark, d):
+    return R.canvas(spark, 37, 53).join(pixels(spark, d), ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+@query(
+    f"WITH {PIXELS}, {DENSE}, sm AS (SELECT y // 2 AS y, x // 2 AS x, ln(1.0 + v) AS v FROM dn WHERE y % 2 = 0 AND x % 2 = 0), "
+    "pad AS (SELECT py.p AS y, px.p AS x, sm.v FROM (SELECT unnest(range(24)) AS p) py, (SELECT unnest(range(32)) AS p) px JOIN sm ON sm.y = CASE WHEN py.p < 19 THEN py.p ELSE 36 - py.p END AND sm.x = CASE WHEN px.p < 27 THEN px.p ELSE 52 - px.p END), "
+    "g AS (SELECT y // 8 AS y, x // 8 AS x, quantile_cont(v, 0.05) AS low, quantile_cont(v, 0.95) AS high FROM pad GROUP BY 1, 2), "
+    + ", ".join((taps_sql("ay", 3, 24, 19), taps_sql("ax", 4, 32, 27), taps_sql("by_", 19, 37), taps_sql("bx", 27, 53)))
+    + ", m AS (SELECT ay.o AS y, ax.o AS x, sum(ay.w * ax.w * low) AS low, sum(ay.w * ax.w * high) AS high FROM ay, ax JOIN g ON g.y = ay.i AND g.x = ax.i GROUP BY 1, 2), "
+    "b AS (SELECT by_.o AS y, bx.o AS x, sum(by_.w * bx.w * low) AS low, sum(by_.w * bx.w * high) AS high FROM by_, bx JOIN m ON m.y = by_.i AND m.x = bx.i GROUP BY 1, 2) "
+    "SELECT y, x, floor(greatest(least((ln(1.0 + v) - low) / (high - low + 1e-5), 1.0), 0.0) * (x % 2) * 255)::BIGINT AS v FROM dn JOIN b USING (y, x)"
+)
+def q_channel_normalise_interpolated(spark, d):
+    dense = dense_pixels(spark, d).withColumn("mask", F.col("x") % 2)
+    return R.interpolated_channel(dense, spark, 37, 53, 2, 8, 5.0, 95.0)
+
+
+@query(
+    f"WITH {PIXELS}, {DENSE}, {taps_sql('ay', 37, 20)}, {taps_sql('ax', 53, 90)} SELECT ay.o AS y, ax.o AS x, round(sum(ay.w * ax.w * v), 6) AS v FROM ay, ax JOIN dn ON dn.y = ay.i AND dn.x = ax.i GROUP BY 1, 2"
+)
+def q_resize_bilinear(spark, d):
+    return R.resized(dense_pixels(spark, d), spark, (37, 53), (20, 90), linear=True).select("y", "x", r6("v"))
+
+
+CUBIC = "CASE WHEN abs(u) <= 1 THEN (1.25 * abs(u) - 2.25) * abs(u) * abs(u) + 1 ELSE ((-0.75 * abs(u) + 3.75) * abs(u) - 6) * abs(u) + 3 END"
+
+
+def cubic_sql(name: str, source: int, target: int) -> str:
+    place = f"SELECT o, j, s - floor(s) - j AS u, floor(s)::BIGINT + j AS i FROM (SELECT o, (o + 0.5) * ({source} / {target}.0) - 0.5 AS s FROM (SELECT unnest(range({target})) AS o)), (SELECT unnest(range(-1, 3)) AS j)"
+    return f"{name} AS (SELECT o, least(greatest(i, 0), {source - 1}) AS i, {CUBIC} AS w FROM ({place}))"
+
+
+@query(f"WITH {PIXELS}, {DENSE}, {cubic_sql('ay', 37, 50)}, {cubic_sql('ax', 53, 40)} SELECT ay.o AS y, ax.o AS x, round(sum(ay.w * ax.w * v), 6) AS v FROM ay, ax JOIN dn ON dn.y = ay.i AND dn.x = ax.i GROUP BY 1, 2")
+def q_resize_cubic(spark, d):
+    return R.resized_cubic(dense_pixels(spark, d), spark, (37, 53), (50, 40)).select("y", "x", r6("v"))
+
+
+@query(f"WITH {PIXELS}, {DENSE}, f AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE dy * dy + dx * dx <= 9) SELECT a.y, a.x, round(quantile_cont(b.v, 0.25), 6) AS v FROM dn a, f JOIN dn b ON b.y = a.y + f.dy AND b.x = a.x + f.dx GROUP BY 1, 2")
+def q_disk_percentile(spark, d):
+    return N.quantile(dense_pixels(spark, d), N.disk(3), 0.25).select("y", "x", r6("v"))
+
+
 @query(f"WITH {PIXELS}, d AS (SELECT y, x, coalesce(v, 0) AS v FROM (SELECT y, x FROM (SELECT unnest(range(32)) AS y), (SELECT unnest(range(48)) AS x)) g LEFT JOIN px USING (y, x)) SELECT x0, y0, 8::BIGINT AS size, round(avg(v), 6) AS mean, avg(v) > 300 AS active FROM d JOIN (SELECT x0, y0 FROM (SELECT unnest(range(0, 48, 8)) AS x0), (SELECT unnest(range(0, 32, 8)) AS y0)) ON x >= x0 AND x < x0 + 8 AND y >= y0 AND y < y0 + 8 GROUP BY 1, 2")
 def q_integral_cells(spark, d):
     dense = R.canvas(spark, 32, 48).join(pixels(spark, d), ["y", "x"], "left").select("y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
@@ -424,7 +477,7 @@ def q_otsu_threshold(spark, d):
 
 @query(f"WITH {PIXELS} SELECT a.y, a.x, max(b.v) AS v FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2")
 def q_dilate(spark, d):
-    return R.neighbourhood(pixels(spark, d), 1, F.max("v"))
+    return N.dilated(pixels(spark, d), N.square(3))
 
 
 @query(f"WITH {CANVAS}, q AS (SELECT y, x, y::DOUBLE AS fy, x::DOUBLE AS fx FROM px) SELECT y, x, CASE WHEN fx >= 10 AND fx < 25 AND fy >= 5 AND fy < 20 THEN 2 WHEN fx >= 2 AND fx < 18 AND fy >= 2 AND fy < 30 THEN 1 ELSE 0 END::BIGINT AS v FROM q")
@@ -553,17 +606,17 @@ def q_contour_holes(spark, d):
 
 @query(f"WITH {PIXELS} SELECT a.y, a.x, median(b.v) AS v FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2")
 def q_median_filter(spark, d):
-    return R.neighbourhood(pixels(spark, d), 1, F.median("v"))
+    return N.median(pixels(spark, d), N.square(3))
 
 
 @query(f"WITH {PIXELS}, h AS (SELECT a.y, a.x, b.v // 50 AS v, count(*) AS n FROM px a JOIN px b ON b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY ALL) SELECT y, x, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS v FROM h GROUP BY y, x")
 def q_local_entropy(spark, d):
-    return R.local_entropy(pixels(spark, d).selectExpr("y", "x", "v div 50 AS v"), 2).select("y", "x", r6("v"))
+    return N.entropy(pixels(spark, d).selectExpr("y", "x", "v div 50 AS v"), N.square(5)).select("y", "x", r6("v"))
 
 
 @query(f"WITH {PIXELS}, m AS (SELECT a.y, a.x, max(b.v) AS v FROM px a JOIN px b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2) SELECT a.y, a.x, min(b.v) AS v FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2")
 def q_closed_mask(spark, d):
-    return R.closed(pixels(spark, d), 1)
+    return N.closed(pixels(spark, d), N.square(3))
 
 
 SOFT = "g AS (SELECT unnest(range(24)) AS y), h AS (SELECT unnest(range(30)) AS x), p AS (SELECT y, x, ((y // 4 + x // 5) % 3 IN (1, 2))::INT AS v FROM g, h), k AS (SELECT i - 3 AS o, w / sum(w) OVER () AS w FROM (SELECT i, exp(-((i - 3) ** 2) / (2 * 1.4 ** 2)) AS w FROM (SELECT unnest(range(7)) AS i)))"
