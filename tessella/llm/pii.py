@@ -153,7 +153,7 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[list[tuple[str, int]
     def entity(kind: int) -> list[str]:
         if kind == 1:
             name, host = word(), f"{word()}.{rng.choice(['com', 'org', 'net'])}"
-            return rng.choice([[f"{name}@{host}"], [f"{name}.{digits(2)}@{host}"], [name, rng.choice(["[at]", "(at)"]), word(), rng.choice(["[dot]", "(dot)"]), "com"], [name + (at := rng.choice(["(at)", "[at]"])) + word() + at.replace("at", "dot") + "org"], [name, "@", word(), ".", "net"]])
+            return rng.choice([[f"{name}@{host}"], [f"{name}.{digits(2)}@{host}"], [name, rng.choice(["[at]", "(at)"]), word(), rng.choice(["[dot]", "(dot)"]), "com"], [name + (at := rng.choice(["(at)", "[at]"])) + word() + at.replace("at", "dot") + "org"]])
         if kind == 2:
             return [rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))])]
         if kind == 3:
