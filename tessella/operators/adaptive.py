@@ -182,10 +182,10 @@ def cleaned_mask(pixels: DataFrame, least: int, fill: bool = True) -> DataFrame:
     return pixels.groupBy("image").applyInPandas(one, "image string, y long, x long, v long")
 
 
-def refine_epoch(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFrame], DataFrame], height: int, width: int, threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
+def refine_epoch(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFrame], DataFrame], height: int, width: int, threshold: float, least: int, mapping: dict[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, samples) of the next epoch: cells whose mean gradient is over the threshold get their corners
     labelled and, while over the least size, split; the others stay."""
-    slopes = gradient(interpolate_linear(samples, height, width))
+    slopes = gradient(interpolate_linear(samples, height, width, mapping=mapping))
     scored = R.integral_cells(slopes, cells, threshold, by=("image",))
     active = scored.where("active").select("image", "x0", "y0", "size")
     idle = scored.where("NOT active").select("image", "x0", "y0", "size")
@@ -194,17 +194,22 @@ def refine_epoch(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFr
     return idle.unionByName(split).distinct(), samples.unionByName(new.select("image", "x", "y", "label"))
 
 
-def adaptive_samples(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFrame], DataFrame], height: int, width: int, threshold: float = 0.1, least: int = 32, most_epochs: int = 20) -> DataFrame:
+def adaptive_samples(cells: DataFrame, samples: DataFrame, labeler: Callable[[DataFrame], DataFrame], height: int, width: int, threshold: float = 0.1, least: int = 32, most_epochs: int = 20, mapping: dict[int, float] | None = None) -> DataFrame:
     """Samples after refinement, until no cell is left or an epoch after the first adds nothing.
 
-    Epochs are checkpointed in the session's folder; a folder of our own is set only where it has none.
+    Epochs are checkpointed in the session's folder, or in the one that ``spark.checkpoint.dir`` names; only where
+    neither is set, as on one machine, is a folder of our own made. ``mapping`` gives labels their values (others: 0).
     """
-    context = samples.sparkSession.sparkContext
+    session = samples.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        named = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
     before = samples.count()
     for epoch in range(1, most_epochs + 1):
-        cells, samples = refine_epoch(cells, samples, labeler, height, width, threshold, least)
+        cells, samples = refine_epoch(cells, samples, labeler, height, width, threshold, least, mapping)
         cells, samples = cells.checkpoint(), samples.checkpoint()
         now = samples.count()
         if cells.isEmpty() or (epoch > 1 and now == before):

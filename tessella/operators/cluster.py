@@ -89,18 +89,27 @@ class FeatureClusters:
 
     def fit(self, iou: DataFrame) -> FeatureClusters:
         """From pairs (i, j, iou) with i < j."""
-        names = sorted({r.f for r in iou.select(F.explode(F.array("i", "j")).alias("f")).distinct().limit(MOST_FEATURES + 1).collect()})
-        if len(names) > MOST_FEATURES:
+        return self.fit_distances(iou.select("i", "j", (1 - F.col("iou")).alias("distance")))
+
+    def fit_vectors(self, rows: DataFrame, metric: str = "cosine") -> FeatureClusters:
+        """From vectors (row_idx, vec) of a small set."""
+        return self.fit_distances(pair_distances(rows, metric))
+
+    def fit_distances(self, pairs: DataFrame) -> FeatureClusters:
+        """From all pairs (i, j, distance), i < j, of at most ``MOST_FEATURES`` items; they come as Arrow columns."""
+        few = pairs.select(F.explode(F.array("i", "j")).alias("f")).distinct().limit(MOST_FEATURES + 1).toArrow()["f"].to_pylist()
+        if len(few) > MOST_FEATURES:
             raise ValueError("select features first")
-        at = {f: k for k, f in enumerate(names)}
+        names = sorted(few)
+        table = pairs.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("distance").cast("double")).toArrow()
+        i, j = (np.searchsorted(names, table[c].to_numpy()) for c in ("i", "j"))
         distance = np.zeros((len(names), len(names)))
-        for r in iou.collect():
-            distance[at[r.i], at[r.j]] = distance[at[r.j], at[r.i]] = 1 - r.iou
+        distance[i, j] = distance[j, i] = table["distance"].to_numpy()
         merges = linkage(distance, self.method)
         clusters, order = flat_clusters(merges, len(names), self.threshold, self.criterion), leaf_order(merges, len(names))
         place = {k: p for p, k in enumerate(order)}
         rows = [(names[k], int(clusters[k]), place[k]) for k in range(len(names))]
-        self.table = iou.sparkSession.createDataFrame(rows, "feature long, cluster long, place long")
+        self.table = pairs.sparkSession.createDataFrame(rows, "feature long, cluster long, place long")
         return self
 
     def clusters(self) -> DataFrame:
@@ -116,6 +125,18 @@ class FeatureClusters:
         return both.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("row", "col", "iou")
 
 
+def pair_distances(rows: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(i, j, distance) of all pairs of a small set of vectors (row_idx, vec), such as features or centroids."""
+    if metric == "cosine":
+        return cosine_distances(rows)
+    apart = {"euclidean": lambda x: x * x, "sqeuclidean": lambda x: x * x, "cityblock": F.abs}
+    if metric not in apart:
+        raise ValueError(metric)
+    a, b = rows.select("row_idx", "vec").alias("a"), rows.select("row_idx", "vec").alias("b")
+    total = F.aggregate(F.zip_with(F.col("a.vec"), F.col("b.vec"), lambda x, y: apart[metric](x - y)), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, F.col("a.row_idx") < F.col("b.row_idx")).select(F.col("a.row_idx").alias("i"), F.col("b.row_idx").alias("j"), (F.sqrt(total) if metric == "euclidean" else total).alias("distance"))
+
+
 def cosine_distances(rows: DataFrame) -> DataFrame:
     """(i, j, distance) of all pairs of a small set of vectors (row_idx, vec)."""
     unit = rows.select("row_idx", A.l2_normalised(F.col("vec")).alias("v"))

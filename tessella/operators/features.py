@@ -15,7 +15,7 @@ MOST_LITERALS = 200_000
 
 def _checked(rows: list[list[float]]) -> list[list[float]]:
     if sum(map(len, rows)) > MOST_LITERALS:
-        raise ValueError("parameters too large for literals; use assign_by_join")
+        raise ValueError("parameters too large for literals; FrequencyRankedKMeans and SparseAutoencoder take any size")
     return rows
 
 
@@ -104,6 +104,11 @@ def selected_features(stats: DataFrame, pct: float = 0.01, most: float = 0.5) ->
     return stats.withColumn("selected", (F.col("pct_active") > pct) & (F.col("max_score") > most))
 
 
+def selection_scatter(stats: DataFrame, pct: float = 0.01, most: float = 0.5) -> DataFrame:
+    """What a plot of the selection shows: features that are ever active, with the flag."""
+    return selected_features(stats, pct, most).where((F.col("pct_active") > 0) & (F.col("max_score") > 0))
+
+
 def overlaps(values: DataFrame, features: DataFrame) -> DataFrame:
     """Weighted IoU, sum(min) / (sum a + sum b - sum(min)), of all pairs i < j; zero union gives zero.
 
@@ -154,13 +159,16 @@ def cluster_extents(labels: DataFrame, place: str, label: str = "label") -> Data
     return labels.groupBy(label).agg(F.min(place).alias("start_at"), F.max(place).alias("end_at"), F.count(F.lit(1)).alias("n"))
 
 
-def segmentation_metrics(masks: DataFrame) -> DataFrame:
-    """One row from (image, truth, guess) booleans: micro IoU and mean of images' IoU (an empty union counts as one)."""
+def segmentation_metrics(masks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """From (image, truth, guess) booleans: micro IoU and mean of images' IoU (an empty union counts as one).
+
+    One row, or one for each value of ``by``, such as the epoch.
+    """
     t, g = F.col("truth"), F.col("guess")
-    each = masks.groupBy("image").agg(*(F.count_if(c).alias(n) for n, c in (("tp", t & g), ("fp", ~t & g), ("fn", t & ~g), ("tn", ~t & ~g))))
+    each = masks.groupBy(*by, "image").agg(*(F.count_if(c).alias(n) for n, c in (("tp", t & g), ("fp", ~t & g), ("fn", t & ~g), ("tn", ~t & ~g))))
     iou = F.when(F.col("tp") + F.col("fp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn")))
     total = F.sum("tp") + F.sum("fp") + F.sum("fn")
-    return each.withColumn("iou", iou).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.when(total == 0, 1.0).otherwise(F.sum("tp") / total).alias("micro_iou"), F.avg("iou").alias("image_iou"))
+    return each.withColumn("iou", iou).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), F.when(total == 0, 1.0).otherwise(F.sum("tp") / total).alias("micro_iou"), F.avg("iou").alias("image_iou"))
 
 
 def label_codes(labels: DataFrame, label: str = "label", background: str = "") -> DataFrame:

@@ -78,6 +78,23 @@ def paint_max(spark: SparkSession, patches: DataFrame, height: int, width: int,
     return canvas(spark, height, width).join(top, ["y", "x"], "left").select("y", "x", F.coalesce("score", F.lit(0.0)).alias("v"))
 
 
+def feature_maps(patches: DataFrame, sizes: DataFrame, patch: int, downsample: int) -> DataFrame:
+    """(image, y, x, v): squares of ``score`` around centres (image, x, y) on each image's own canvas, highest wins.
+
+    Images (image, height, width: of the map) without patches stay empty (zeros), patches without an image are left
+    out. Rounding and edges are those of ``paint_max``.
+    """
+    half = patch // downsample // 2
+    placed = patches.join(sizes, "image").withColumns({"cx": F.rint(F.col("x") / downsample).cast("long"), "cy": F.rint(F.col("y") / downsample).cast("long")})
+    ends = lambda c, n: (F.greatest(F.col(c) - half, F.lit(0)), F.least(F.col(c) + half, F.col(n) - 1) - 1)
+    span = lambda c, n: F.when(ends(c, n)[0] <= ends(c, n)[1], F.sequence(*ends(c, n))).otherwise(F.array().cast("array<bigint>"))
+    painted = placed.select("image", "score", "cy", "height", F.explode(span("cx", "width")).alias("x")).select("image", "score", "x", F.explode(span("cy", "height")).alias("y"))
+    top = painted.groupBy("image", "y", "x").agg(F.max("score").alias("score"))
+    rows = sizes.select("image", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
+    whole = rows.select("image", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("x"))
+    return whole.join(top, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("score", F.lit(0.0)).alias("v"))
+
+
 def pyramid_level(pixels: DataFrame, mask: bool = False) -> DataFrame:
     """The next level from this one: 2 x 2 means over four (absent pixels are zeros), half-even; or every other pixel."""
     if mask:

@@ -34,7 +34,10 @@ def global_number(df: DataFrame, coarse: list[tuple[str, Column]], order: list[C
     before = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     inside = keyed.withColumn("__k", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
     on = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
-    joined = inside.alias("a").join(before.alias("b"), on[0] if len(on) == 1 else on[0] & on[1])
+    same = on[0]
+    for more in on[1:]:
+        same = same & more
+    joined = inside.alias("a").join(before.alias("b"), same)
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a.__k") + F.col("b.__offset")).cast("long").alias(name))
 
 
@@ -130,6 +133,31 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def block_order(patches: DataFrame, block_h: int, block_w: int) -> DataFrame:
+    """Patches with ``place``: their number from 0 by image, block row, block column and row_idx."""
+    key = [("__image", F.col("image")), ("__by", F.floor(F.col("ymin") / block_h)), ("__bx", F.floor(F.col("xmin") / block_w))]
+    return global_number(patches, key, [F.col("row_idx")], "place").withColumn("place", F.col("place") - 1)
+
+
+def drain_order(cells: DataFrame, by: tuple[str, ...] = ("image",)) -> DataFrame:
+    """Active cells (mean, active, place) with ``turn`` from 1: the steepest first, then by place; an image's cells are one group."""
+    order = Window.partitionBy(*by).orderBy(F.col("mean").desc(), "place")
+    return cells.where("active").withColumn("turn", F.row_number().over(order).cast("long"))
+
+
+def saliency_rows(ranked: DataFrame, maps: int, per_page: int, columns: int, number: str = RANK) -> DataFrame:
+    """Gallery places (page, grid_row, grid_col, panel) of each ranked row's image (panel 0) and of its maps under it."""
+    at = F.col(number) - 1
+    panels = ranked.withColumn("panel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(maps).cast("long"))))
+    return panels.withColumns({"page": F.floor(at / per_page), "grid_row": F.floor(at % per_page / columns) * (maps + 1) + F.col("panel"), "grid_col": at % per_page % columns})
+
+
+def feature_gallery(activations: DataFrame, clusters: DataFrame, columns: int) -> DataFrame:
+    """The best row of each clustered feature, laid out in the clusters' leaf order (feature, cluster, place)."""
+    best = exemplars(activations).select(F.col(NAME).alias("feature"), SOURCE, "row_idx", SCORE)
+    return clusters.join(best, "feature", "left").select("feature", "cluster", SOURCE, "row_idx", SCORE, F.floor(F.col("place") / columns).alias("grid_row"), (F.col("place") % columns).alias("grid_col"))
+
+
 def pages_of(ranked: DataFrame, per_page: int, columns: int, number: str = RANK) -> DataFrame:
     """Gallery layout: page, grid row and column of each ranked row."""
     at = F.col(number) - 1

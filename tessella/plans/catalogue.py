@@ -13,6 +13,7 @@ from ..operators import filters as N
 from ..operators import geometry as G
 from ..operators import raster as R
 from ..operators import selection as T
+from ..sources import slides as W
 from ..sources import tables as IO
 from .fixtures import ACT, EV, P, activations, patches, scored_events, table
 
@@ -125,7 +126,7 @@ def q_activation_stats_chunked(spark, d):
 
 @query(f"WITH {ACT}, {STATS} SELECT feature, round(pct_active, 9) AS pct_active, round(max_score, 6) AS max_score, pct_active > 0.1 AND max_score > 0.2 AS selected FROM s WHERE pct_active > 0 AND max_score > 0")
 def q_selected_features(spark, d):
-    return A.selected_features(stats(spark, d), 0.1, 0.2).where("pct_active > 0 AND max_score > 0").select("feature", F.round("pct_active", 9).alias("pct_active"), r6("max_score"), "selected")
+    return A.selection_scatter(stats(spark, d), 0.1, 0.2).select("feature", F.round("pct_active", 9).alias("pct_active"), r6("max_score"), "selected")
 
 
 def iou_sql(values: str) -> str:
@@ -658,6 +659,103 @@ def q_sobel_gradient(spark, d):
     return gradient(pixels(spark, d).withColumn("image", F.lit("a"))).select("y", "x", r6("v"))
 
 
+# ---- slides, embedding, galleries and maps
+
+COLOURS = "rgb AS (SELECT 's' || s AS image, c, y, x, (x * 7 + y * 13 + c * 31 + s * 5) % 256 AS v FROM (SELECT unnest(range(2)) AS s), (SELECT unnest(range(3)) AS c), (SELECT unnest(range(90)) AS y), (SELECT unnest(range(120)) AS x))"
+
+
+def colours(spark):
+    return spark.range(2 * 3 * 90 * 120).selectExpr("concat('s', id div 32400) AS image", "id div 32400 AS s", "id % 32400 div 10800 AS c", "id % 10800 div 120 AS y", "id % 120 AS x").selectExpr("image", "c", "y", "x", "(x * 7 + y * 13 + c * 31 + s * 5) % 256 AS v")
+
+
+BOXES = "SELECT 's' || vec_id % 2 AS image, vec_id AS row_idx, vec_id * 37 % 110 - 8 AS xmin, vec_id * 53 % 85 - 8 AS ymin, vec_id * 37 % 110 + 8 AS xmax, vec_id * 53 % 85 + 8 AS ymax FROM embeddings"
+
+
+def boxes(spark, d):
+    return table(spark, d, "embeddings").selectExpr("concat('s', vec_id % 2) AS image", "vec_id AS row_idx", "vec_id * 37 % 110 - 8 AS xmin", "vec_id * 53 % 85 - 8 AS ymin", "vec_id * 37 % 110 + 8 AS xmax", "vec_id * 53 % 85 + 8 AS ymax")
+
+
+@query(f"WITH {COLOURS}, p AS ({BOXES}), k AS (SELECT unnest(range(3)) AS c), m AS (SELECT p.row_idx, k.c, coalesce(sum(v), 0) / 256.0 AS mean, coalesce(max(v), 0) AS most FROM p CROSS JOIN k LEFT JOIN rgb ON rgb.image = p.image AND rgb.c = k.c AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax GROUP BY 1, 2) SELECT row_idx, c AS i, round(mean, 3) AS v FROM m UNION ALL SELECT row_idx, c + 3, round(most::DOUBLE, 3) FROM m")
+def q_embed_blocks(spark, d):
+    from ..operators import embedding as E
+
+    tiles = W.tiled(colours(spark), 32, 3, by=("image",))
+    found = E.embed_blocks(boxes(spark, d), tiles, E.channel_means, size=16, block=40)
+    return found.select("row_idx", F.posexplode("vec").alias("i", "v")).select("row_idx", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), 3).alias("v"))
+
+
+@query(f"WITH {COLOURS} SELECT image, c, y, x, v FROM rgb")
+def q_tile_round_trip(spark, d):
+    return W.untiled(W.tiled(colours(spark), 32, 3, by=("image",)), 3, by=("image",))
+
+
+@query(f"WITH {COLOURS}, l1 AS (SELECT c, y // 2 AS y, x // 2 AS x, round_even(sum(v) / 4, 0)::BIGINT AS v FROM rgb WHERE image = 's0' GROUP BY 1, 2, 3), l2 AS (SELECT c, y // 2 AS y, x // 2 AS x, round_even(sum(v) / 4, 0)::BIGINT AS v FROM l1 GROUP BY 1, 2, 3) SELECT 0::BIGINT AS level, c, y, x, v FROM rgb WHERE image = 's0' UNION ALL SELECT 1, c, y, x, v FROM l1 UNION ALL SELECT 2, c, y, x, v FROM l2")
+def q_auto_pyramid(spark, d):
+    return W.auto_pyramid(colours(spark).where("image = 's0'"), (2, 2))
+
+
+@query(f"WITH {COLOURS} SELECT image, c, y, x, v, ['r', 'g', 'b'][c + 1] AS channel, y * CASE image WHEN 's0' THEN 1.0::DOUBLE ELSE 4.0 END AS base_y, x * CASE image WHEN 's0' THEN 1.0::DOUBLE ELSE 4.0 END AS base_x FROM rgb")
+def q_multiscale_channels(spark, d):
+    leveled = colours(spark).withColumn("level", F.substring("image", 2, 1).cast("int"))
+    return W.multiscale(leveled, {0: 1.0, 1: 4.0}, "HnE").drop("level")
+
+
+@query(f"WITH {COLOURS} SELECT substr(image, 2, 1)::BIGINT * 3 + c AS c, y, x, v FROM rgb")
+def q_axes_to_cyx(spark, d):
+    named = colours(spark).select(F.substring("image", 2, 1).cast("long").alias("T"), F.col("c").alias("S"), F.col("y").alias("Y"), F.col("x").alias("X"), "v")
+    return W.to_cyx(named, "TSYX", {"T": 2, "S": 3})
+
+
+@query("SELECT image, y, x, coalesce(max(score), 0) AS v FROM (SELECT 's' || s AS image, y, x FROM (SELECT unnest(range(3)) AS s), (SELECT unnest(range(20)) AS y), (SELECT unnest(range(30)) AS x)) px LEFT JOIN (SELECT 's' || user_id % 4 AS image, round_even(event_id * 37 % 480 / 16, 0)::BIGINT AS cx, round_even(event_id * 91 % 320 / 16, 0)::BIGINT AS cy, max(value) AS score FROM events WHERE user_id % 4 <> 1 GROUP BY 1, 2, 3) p USING (image) WHERE p.cx IS NULL OR (x >= greatest(cx - 2, 0) AND x < least(cx + 2, 29) AND y >= greatest(cy - 2, 0) AND y < least(cy + 2, 19)) GROUP BY 1, 2, 3 UNION ALL SELECT image, y, x, 0 FROM (SELECT 's' || s AS image, y, x FROM (SELECT unnest(range(3)) AS s), (SELECT unnest(range(20)) AS y), (SELECT unnest(range(30)) AS x)) px WHERE image <> 's1' AND (y = 19 OR x = 29)")
+def q_feature_maps(spark, d):
+    rows = table(spark, d, "events").where("user_id % 4 <> 1").selectExpr("concat('s', user_id % 4) AS image", "event_id * 37 % 480 AS x", "event_id * 91 % 320 AS y", "value AS score")
+    sizes = spark.range(3).selectExpr("concat('s', id) AS image", "20L AS height", "30L AS width")
+    return R.feature_maps(rows, sizes, 64, 16)
+
+
+@query(f"WITH {EV}, k AS (SELECT *, row_number() OVER (ORDER BY score DESC, table_name, row_idx) AS number FROM ev) SELECT table_name, row_idx, number, panel, (number - 1) // 10 AS page, (number - 1) % 10 // 5 * 4 + panel AS grid_row, (number - 1) % 10 % 5 AS grid_col FROM k, (SELECT unnest(range(4)) AS panel) WHERE number <= 24")
+def q_gallery_saliency_rows(spark, d):
+    top = T.top_rows(scored_events(spark, d), n=24)
+    return T.saliency_rows(top, 3, 10, 5).select("table_name", "row_idx", F.col(T.RANK).alias("number"), "panel", "page", "grid_row", "grid_col")
+
+
+@query(f"WITH {ACT}, b AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, table_name, row_idx) AS k FROM act) SELECT f.feature, f.feature % 5 AS cluster, table_name AS _source_patch_table, row_idx, score AS _feature_score, (63 - f.feature) // 10 AS grid_row, (63 - f.feature) % 10 AS grid_col FROM (SELECT unnest(range(64)) AS feature) f LEFT JOIN b ON b.feature = f.feature AND k = 1")
+def q_feature_gallery(spark, d):
+    clusters = spark.range(64).selectExpr("id AS feature", "id % 5 AS cluster", "63 - id AS place")
+    return T.feature_gallery(activations(spark, d), clusters, 10)
+
+
+@query(f"WITH {P} SELECT image, row_idx, row_number() OVER (ORDER BY image, ymin // 2000, xmin // 2000, row_idx) - 1 AS place FROM p")
+def q_block_order(spark, d):
+    return T.block_order(patches(spark, d), 2000, 2000).select("image", "row_idx", "place")
+
+
+@query("WITH c AS (SELECT event_type AS image, event_id AS place, round(value, 0) AS mean FROM events) SELECT image, place, row_number() OVER (PARTITION BY image ORDER BY mean DESC, place) AS turn FROM c WHERE mean > 100")
+def q_drain_order(spark, d):
+    cells = table(spark, d, "events").select(F.col("event_type").alias("image"), F.col("event_id").alias("place"), F.round("value", 0).alias("mean")).withColumn("active", F.col("mean") > 100)
+    return T.drain_order(cells).select("image", "place", "turn")
+
+
+@query("WITH m AS (SELECT doc_id % 3 AS epoch, doc_id % 10 AS image, quality = 1 AS t, toxic = 1 AS g FROM labels), e AS (SELECT epoch, image, count(*) FILTER (WHERE t AND g) AS tp, count(*) FILTER (WHERE NOT t AND g) AS fp, count(*) FILTER (WHERE t AND NOT g) AS fn, count(*) FILTER (WHERE NOT t AND NOT g) AS tn FROM m GROUP BY 1, 2) SELECT epoch, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, round(CASE WHEN sum(tp + fp + fn) = 0 THEN 1 ELSE sum(tp) / sum(tp + fp + fn) END, 6) AS micro_iou, round(avg(CASE WHEN tp + fp + fn = 0 THEN 1 ELSE tp / (tp + fp + fn) END), 6) AS image_iou FROM e GROUP BY epoch")
+def q_epoch_metrics(spark, d):
+    masks = table(spark, d, "labels").selectExpr("doc_id % 3 AS epoch", "doc_id % 10 AS image", "quality = 1 AS truth", "toxic = 1 AS guess")
+    return A.segmentation_metrics(masks, ("epoch",)).select("epoch", "tp", "fp", "fn", "tn", r6("micro_iou"), r6("image_iou"))
+
+
+@query("WITH m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1, 2) SELECT a.label::BIGINT AS i, b.label::BIGINT AS j, round(sqrt(sum((a.v - b.v) ** 2)), 6) AS euclidean, round(sum(abs(a.v - b.v)), 6) AS cityblock FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2")
+def q_pair_distances_labels(spark, d):
+    from ..operators.cluster import pair_distances
+
+    rows = spark.createDataFrame(list(enumerate(centroids(spark, d))), "row_idx long, vec array<double>")
+    far = pair_distances(rows, "euclidean").withColumnRenamed("distance", "euclidean").join(pair_distances(rows, "cityblock").withColumnRenamed("distance", "cityblock"), ["i", "j"])
+    return far.select("i", "j", r6("euclidean"), r6("cityblock"))
+
+
+@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\\x09\\x0A\\x0D\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]', '', 'g'))::BIGINT AS kept FROM documents")
+def q_xml_safe(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.char_length(W.xml_safe(F.coalesce("text", F.lit("")))).cast("long").alias("kept"))
+
+
 # ---- no SQL: iterative or geometric algorithms, tested against brute force
 
 @query()

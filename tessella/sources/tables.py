@@ -6,8 +6,10 @@ and ``models_metadata`` (name, model_type, serializer, path).
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ class Container:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.elements: dict[str, DataFrame] = {}
+        self.loaded: dict[str, object] = {}
         self.images = spark.createDataFrame([], IMAGES)
         self.models = spark.createDataFrame([], MODELS)
 
@@ -31,6 +34,12 @@ class Container:
             tiles.createOrReplaceTempView(name)
         return self
 
+    def add_model(self, name: str, model) -> Container:
+        """A model with numpy or plain parameters, registered under its class."""
+        self.loaded[name] = model
+        self.models = self.models.unionByName(self.spark.createDataFrame([(name, type(model).__name__, "json", f"models/{name}")], MODELS))
+        return self
+
     def model(self, name: str):
         """The first registered model of that name."""
         found = self.models.where(F.col("name") == name).limit(1).collect()
@@ -45,25 +54,71 @@ class Container:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         self.images.write.mode("overwrite").parquet(f"{path}/images")
         self.models.write.mode("overwrite").parquet(f"{path}/models_metadata")
+        for name, model in self.loaded.items():
+            text = json.dumps({k: plain(v) for k, v in vars(model).items()})
+            self.spark.createDataFrame([(type(model).__name__, text)], "kind string, parameters string").write.mode("overwrite").parquet(f"{path}/models/{name}")
+        names_written = [(n,) for n in self.elements]
+        self.spark.createDataFrame(names_written, "name string").write.mode("overwrite").parquet(f"{path}/elements")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, names: list[str]) -> Container:
+    def read(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> Container:
+        """Elements by name (all that were written, where none are named), registries and models."""
         out = cls(spark)
+        names = names if names is not None else [r.name for r in spark.read.parquet(f"{path}/elements").collect()]
         out.elements = {n: spark.read.parquet(f"{path}/{n}") for n in names}
         out.images, out.models = spark.read.parquet(f"{path}/images"), spark.read.parquet(f"{path}/models_metadata")
+        for r in out.models.select("name").distinct().collect():
+            kind, text = spark.read.parquet(f"{path}/models/{r.name}").first()
+            out.loaded[r.name] = restored(kind, json.loads(text))
         return out
 
 
+def plain(value):
+    """numpy arrays as lists under a mark."""
+    if isinstance(value, np.ndarray):
+        return {"array": value.tolist()}
+    return {"table": {k: plain(v) for k, v in value.items()}} if isinstance(value, dict) else value
+
+
+def restored(kind: str, parameters: dict):
+    """A model of one of the library's own classes; others are a ValueError."""
+    from ..operators.autoencoder import SparseAutoencoder
+    from ..operators.cluster import FrequencyRankedKMeans
+
+    known = {c.__name__: c for c in (SparseAutoencoder, FrequencyRankedKMeans)}
+    if kind not in known:
+        raise ValueError(f"model of kind {kind}")
+
+    def back(value):
+        if isinstance(value, dict):
+            return np.array(value["array"]) if "array" in value else {k: back(v) for k, v in value["table"].items()}
+        return value
+
+    model = known[kind]()
+    vars(model).update({k: back(v) for k, v in parameters.items()})
+    return model
+
+
 def overwrite_element(df: DataFrame, path: str) -> None:
-    """Write beside the old table, then put it in its place; ``df`` may read the old one."""
+    """Write beside the old table, then put it in its place; ``df`` may read the old one.
+
+    The old table is moved aside before the new one takes its name, and deleted last: at any time one of them is whole.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{suffix}") for suffix in (f".{uuid.uuid4().hex}", ""))
     df.write.parquet(new.toString())
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
+    there = fs.exists(old)
+    if there and not fs.rename(old, aside):
+        raise OSError(f"could not move {old} aside")
     if not fs.rename(new, old):
+        if there:
+            fs.rename(aside, old)
         raise OSError(f"could not move {new} to {old}")
+    if there:
+        fs.delete(aside, True)
 
 
 def read_rois_xml(spark: SparkSession, path: str, points_type: str = "Polygon") -> DataFrame:
@@ -76,11 +131,14 @@ def read_rois_xml(spark: SparkSession, path: str, points_type: str = "Polygon")
     return polygons.unionByName(lines)
 
 
-def read_rois_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_rois_csv(spark: SparkSession, path: str, size: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of a region file; missing columns, or sizes (height, width) other than the slide's, are a ValueError."""
     rois = spark.read.csv(path, header=True)
     missing = {"SizeX", "SizeY", "Points"} - set(rois.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
+    if size is not None and not rois.where((F.col("SizeY").cast("long") != size[0]) | (F.col("SizeX").cast("long") != size[1]) | F.col("SizeX").isNull() | F.col("SizeY").isNull()).isEmpty():
+        raise ValueError("regions of another size than the slide")
     return rois
 
 
