@@ -31,7 +31,8 @@ from ._common import documents, map_columns, small_batches
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_ENTRIES = 400_000
+#: Chunks learned together, and bytes, about, of the chunks kept between batches; past them the memory is emptied.
+CACHE_ENTRIES, CACHE_BYTES, ENTRY_BYTES = 400_000, 160 << 20, 300
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -135,6 +136,7 @@ class Codec:
         self.newline = self.peer.encode("\n")
         self.bare_prefix = self.peer.piece_to_id(MARK)
         self.memory: dict[str, tuple[bytes, bool, bool]] = {}
+        self.held = 0
 
     def chunks(self, text: str | None) -> list[str]:
         """The text's chunks with marks in place; one item where it can't be cut."""
@@ -157,7 +159,7 @@ class Codec:
     def learn(self, wanted: set[str]) -> None:
         missing = [c for c in wanted if c not in self.memory]
         if len(self.memory) + len(missing) > CACHE_ENTRIES:
-            self.memory.clear()
+            self.forget()
             missing = list(wanted)
         if not missing:
             return
@@ -166,6 +168,11 @@ class Codec:
         for chunk, ids, peer, text in zip(missing, encoded, self.peer_ids(missing), back):
             same = text == (chunk.replace(MARK, " ") if self.separable else " " * self.model.dummy_prefix + chunk)
             self.memory[chunk] = np.array(ids, dtype="<u4").tobytes(), ids == peer, same
+            self.held += ENTRY_BYTES + 2 * len(chunk) + 4 * len(ids)
+
+    def forget(self) -> None:
+        self.memory.clear()
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
         out: list[tuple[bytes, bool, bool]] = []
@@ -182,11 +189,16 @@ class Codec:
                 found = list(map(self.memory.__getitem__, chunks))
                 out.append((b"".join([f[0] for f in found]), all([f[1] for f in found]), all([f[2] for f in found]) and MARK not in (text or "")))
             at = end
+            if self.held > CACHE_BYTES:
+                self.forget()
         return out
 
     def decode(self, ids: list[int]) -> str:
-        text = self.backend.decode(ids, skip_special_tokens=False)
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: list[list[int]]) -> list[str]:
+        texts = self.backend.decode_batch(rows, skip_special_tokens=False)
+        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in texts]
 
 
 _codecs: dict[str, Codec] = {}
@@ -216,8 +228,9 @@ def decode(encoded: DataFrame, path: str | None = None, id_column: str = "doc_id
     """doc_id, text. Null ids give a null text."""
 
     def batch(columns: dict) -> dict:
-        c = codec(path)
-        return {"doc_id": columns["doc_id"], "text": [None if ids is None else c.decode(list(ids)) for ids in columns["ids"]]}
+        rows = columns["ids"]
+        texts = codec(path).decode_all([list(ids or ()) for ids in rows])
+        return {"doc_id": columns["doc_id"], "text": [None if ids is None else t for ids, t in zip(rows, texts)]}
 
     small_batches(encoded.sparkSession)
     return map_columns(encoded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids")), batch, "doc_id long, text string")
