@@ -29,10 +29,12 @@ _own_dir: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, or one of our own where none is set."""
+    """The cluster's shared scratch folder; one of our own only where Spark runs on one machine and none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
     return _own_dir[0]
