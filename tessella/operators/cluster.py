@@ -29,22 +29,39 @@ def linkage(distance: np.ndarray, method: str = "average") -> np.ndarray:
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     names, sizes, out = list(range(n)), [1] * n, []
+    # each row's nearest to its right, kept up to date: a merge changes few of them
+    nearest, least = np.zeros(n, dtype=np.int64), np.full(n, np.inf)
+
+    def look(k: int) -> None:
+        if k + 1 < n:
+            nearest[k] = k + 1 + int(np.argmin(d[k, k + 1 :]))
+            least[k] = d[k, nearest[k]]
+
+    for k in range(n):
+        look(k)
     alive = np.ones(n, dtype=bool)
     for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
+        i = int(np.argmin(least))
+        j = int(nearest[i])
         a, b = sorted((names[i], names[j]))
         out.append((a, b, d[i, j], sizes[i] + sizes[j]))
         if method == "average":
             row = (sizes[i] * d[i] + sizes[j] * d[j]) / (sizes[i] + sizes[j])
         else:
             row = (np.minimum if method == "single" else np.maximum)(d[i], d[j])
+        alive[j] = False
         row[~alive] = np.inf
+        row[i] = np.inf
         d[i], d[:, i] = row, row
-        d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
+        least[j] = np.inf
         names[i], sizes[i] = n + step, sizes[i] + sizes[j]
+        before = np.arange(n) < i
+        nearer = before & alive & ((row < least) | ((row == least) & (i < nearest))) & (nearest != i) & (nearest != j)
+        nearest[nearer], least[nearer] = i, row[nearer]
+        for k in np.flatnonzero(alive & ((nearest == i) & before & ~nearer | (nearest == j) & (np.arange(n) < j))).tolist():
+            look(k)
+        look(i)
     return np.array(out).reshape(-1, 4)
 
 

@@ -53,6 +53,19 @@ def range_of(column: str, cuts: list[float], descending: bool = False) -> Column
     return -n if descending else n
 
 
+def tie_ranges(df: DataFrame, score: str) -> list[tuple[str, Column]]:
+    """Coarse keys for an order by score descending, table_name, row_idx, in which a hot tied score is split.
+
+    Every cut has a range of its own for the rows that equal it; those are told apart further by table and row range.
+    """
+    cuts, rows = ranges(df, score), ranges(df, "row_idx")
+    n = F.lit(0)
+    for c in cuts:
+        n = n - (F.col(score) >= c).cast("int") - (F.col(score) > c).cast("int")
+    tied = n % 2 != 0
+    return [("__range", n), ("__table", F.when(tied, F.col("table_name"))), ("__rows", F.when(tied, range_of("row_idx", rows)))]
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement, in table order; all rows if there are fewer. The feature is the limit."""
     if n < 0:
@@ -86,8 +99,7 @@ def top_rows(df: DataFrame, n: int | None = None, min_score: float | None = None
         few = kept.orderBy(*order).limit(n)  # TakeOrderedAndProject
         out = few.withColumn(RANK, F.row_number().over(Window.orderBy(*order)).cast("long"))
     else:
-        key = [("__range", range_of(score, ranges(kept, score), descending=True))]
-        ranked = global_number(kept, key, order, "__number").where((F.col("__number") - 1) % take_every == 0)
+        ranked = global_number(kept, tie_ranges(kept, score), order, "__number").where((F.col("__number") - 1) % take_every == 0)
         out = ranked.withColumn(RANK, ((F.col("__number") - 1) / take_every).cast("long") + 1).drop("__number")
         out = out.where(F.col(RANK) <= n) if n is not None else out
     out = out.withColumns({SOURCE: F.col("table_name"), SCORE: F.col(score)})

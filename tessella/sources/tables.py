@@ -152,10 +152,12 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_rows(patches: DataFrame) -> DataFrame:
-    """Boxes with a dense row number in (image, row) order, numbered by image and offset, not in one sort."""
-    from ..operators.selection import global_number
+    """Boxes with a dense row number in (image, row) order, numbered by image and row range, not in one sort."""
+    from ..operators.selection import global_number, range_of, ranges
 
-    rows = global_number(patches.select("image", "row_idx", "xmin", "ymin", "xmax", "ymax"), [("__image", F.col("image"))], [F.col("row_idx")], "row_no")
+    boxes = patches.select("image", "row_idx", "xmin", "ymin", "xmax", "ymax")
+    key = [("__image", F.col("image")), ("__range", range_of("row_idx", ranges(boxes, "row_idx")))]
+    rows = global_number(boxes, key, [F.col("row_idx")], "row_no")
     return rows.select((F.col("row_no") - 1).alias("row_no"), "image", "xmin", "ymin", "xmax", "ymax")
 
 
