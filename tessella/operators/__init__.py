@@ -11,6 +11,7 @@ PUBLIC = {
     "features": "activation_stats centering cluster_extents cluster_sizes differential_abundance encode_sparse frequency_rank nearest_centroid one_hot overlaps segmentation_metrics selected_features selection_scatter soft_set strict_set",
     "filters": "closed dilated disk entropy eroded fluorescence_mask median quantile square tissue_mask",
     "geometry": "boxes extract_pixels filter_points grid_points nearest_vertices patch_boxes quadtree_cells samples_on_grid spatial_blocks transform_patches transform_points",
+    "polygons": "cut_holes",
     "raster": "bilinear binary_nearest feature_maps filled_polygons integral_cells interpolated_channel nearest_seed otsu paint_max pyramid_level resized resized_cubic tile_percentiles",
     "selection": "block_order drain_order exemplars feature_gallery negative_rows pages_of patch_scores rows_with_feature saliency_rows sample_rows top_rows union_tables",
 }
