@@ -205,8 +205,9 @@ def nearest_vertices(left: DataFrame, right: DataFrame, levels: int = 20) -> Dat
     apart = placed(a).join(near, ["shape", "cx", "cy"]).groupBy("shape").agg(F.min(F.struct(square.alias("d"), "p", "q")).alias("best"))
 
     best = same.unionByName(apart).select("shape", "best.*")
-    number = lambda t, name, out: best.join(t, "shape").groupBy("shape").agg(F.sum((F.col("place") < F.col(name)).cast("long")).alias(out))
-    return best.join(number(left, "p", "i"), "shape").join(number(right, "q", "j"), "shape").select("shape", "i", "j", F.sqrt("d").alias("distance"))
+    every = left.select("shape", "place", F.lit(1).alias("side")).unionByName(right.select("shape", "place", F.lit(2).alias("side")))
+    before = lambda side, own: F.count_if((F.col("side") == side) & (F.col("place") < F.col(own)))
+    return best.join(every, "shape").groupBy("shape").agg(before(1, "p").alias("i"), before(2, "q").alias("j"), F.sqrt(F.first("d")).alias("distance"))
 
 
 def contour_holes(contours: DataFrame) -> DataFrame:
