@@ -215,6 +215,19 @@ def fluorescence_mask(pixels: DataFrame, entropy_size: int = 5, dilation: int =
     return without_holes(dilated(mask, square(dilation)), max(least, 1))
 
 
+def training_mask(classes: DataFrame, spark: SparkSession, source: tuple[int, int], target: tuple[int, int], positive: list[int], size: int = 31, cleanup: int = 0) -> DataFrame:
+    """(y, x, v) soft mask of a dense class raster: the positive classes, resized by cubics and blurred.
+
+    With ``cleanup`` parts and holes under so many pixels go first; the raster is one image's, of training size.
+    """
+    hard = classes.select("y", "x", F.coalesce(F.col("v").isin(positive), F.lit(False)).cast("long").alias("v"))
+    if cleanup:
+        other = lambda m: m.withColumn("v", 1 - F.col("v"))
+        hard = other(without_holes(other(without_holes(hard, cleanup)), cleanup))
+    soft = R.resized_cubic(hard.withColumn("v", F.col("v").cast("double")), spark, source, target)
+    return R.convolved(soft, R.gaussian_kernel(size), *target)
+
+
 def resized_mask(mask: DataFrame, spark: SparkSession, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """A thumbnail's mask at the base level, by nearest places."""
     return R.resized(mask, spark, source, target)

@@ -659,6 +659,19 @@ def q_sobel_gradient(spark, d):
     return gradient(pixels(spark, d).withColumn("image", F.lit("a"))).select("y", "x", r6("v"))
 
 
+MIRRORED = "CASE WHEN {t} + k.o < 0 THEN -({t} + k.o) WHEN {t} + k.o > {last} THEN {twice} - {t} - k.o ELSE {t} + k.o END"
+
+
+@query(
+    f"WITH {SOFT}, {cubic_sql('ay', 24, 36)}, {cubic_sql('ax', 30, 40)}, r AS (SELECT ay.o AS y, ax.o AS x, sum(ay.w * ax.w * v) AS v FROM ay, ax JOIN p ON p.y = ay.i AND p.x = ax.i GROUP BY 1, 2), "
+    f"a AS (SELECT t.y, r.x, sum(k.w * r.v) AS v FROM (SELECT unnest(range(36)) AS y) t, k JOIN r ON r.y = {MIRRORED.format(t='t.y', last=35, twice=70)} GROUP BY 1, 2) "
+    f"SELECT a.y, t.x, round(sum(k.w * a.v), 6) AS v FROM (SELECT unnest(range(40)) AS x) t, k JOIN a ON a.x = {MIRRORED.format(t='t.x', last=39, twice=78)} GROUP BY 1, 2"
+)
+def q_training_mask(spark, d):
+    classes = R.canvas(spark, 24, 30).withColumn("v", F.expr("(y div 4 + x div 5) % 3"))
+    return N.training_mask(classes, spark, (24, 30), (36, 40), [1, 2], 7).select("y", "x", r6("v"))
+
+
 # ---- slides, embedding, galleries and maps
 
 COLOURS = "rgb AS (SELECT 's' || s AS image, c, y, x, (x * 7 + y * 13 + c * 31 + s * 5) % 256 AS v FROM (SELECT unnest(range(2)) AS s), (SELECT unnest(range(3)) AS c), (SELECT unnest(range(90)) AS y), (SELECT unnest(range(120)) AS x))"

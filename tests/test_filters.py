@@ -124,3 +124,14 @@ def test_bilinear_and_cubic_keep_a_plane(spark):
     for out in (raster.bilinear(px, spark, (9, 11), (18, 33)), raster.resized_cubic(px, spark, (9, 11), (18, 33), a=-0.5)):
         for r in out.where("y BETWEEN 4 AND 13 AND x BETWEEN 6 AND 26").collect():
             assert abs(r.v - (2 * ((r.y + 0.5) / 2 - 0.5) - ((r.x + 0.5) / 3 - 0.5))) < 1e-9
+
+
+def test_training_mask_cleans_first(spark):
+    a = np.zeros((20, 24))
+    a[2:12, 3:15] = 2
+    a[5, 6] = 0  # a small hole
+    a[16, 20] = 2  # a small part
+    dense = spark.createDataFrame([(int(y), int(x), int(a[y, x])) for y, x in np.ndindex(a.shape)], "y long, x long, v long")
+    got = array(filters.training_mask(dense, spark, (20, 24), (20, 24), [2], 3, cleanup=4), a.shape)
+    assert abs(got[5, 6] - 1) < 1e-9 and abs(got[16, 20]) < 1e-9
+    assert 0 < got[2, 8] < 1 and array(filters.training_mask(dense, spark, (20, 24), (20, 24), [2], 3), a.shape)[16, 20] > 0.2
