@@ -20,6 +20,8 @@ from . import geometry as G
 from .autoencoder import SparseAutoencoder, hash_embedder
 from .cluster import FrequencyRankedKMeans, TokenClusters
 
+#: Patches of one group; a fuller block is read by several.
+MOST_PATCHES = 4096
 #: Patches (n, channels, h, w) of bytes to vectors (n, width), or to vectors of tokens (n, tokens, width).
 Embedder = Callable[[np.ndarray], np.ndarray]
 
@@ -34,10 +36,14 @@ def embed_blocks(patches: DataFrame, tiles: DataFrame, embedder: Embedder, chann
     fits = (F.col("xmax") - F.col("xmin") <= size) & (F.col("ymax") - F.col("ymin") <= size)
     cut = lambda c: F.floor(F.col(c) / block)
     own = patches.select("image", F.when(fits, F.col("row_idx")).otherwise(small.cast("long")).alias("row_idx"), *(F.col(c).cast("long").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    # a block with more patches than its pixels explain (one place many times) is several groups
     own = own.withColumns({"by": cut("ymin"), "bx": cut("xmin")})
+    crowded = own.groupBy("image", "by", "bx").agg(F.ceil(F.count(F.lit(1)) / MOST_PATCHES).alias("parts"))
+    own = own.join(crowded, ["image", "by", "bx"]).withColumn("part", F.pmod(F.xxhash64("row_idx"), F.col("parts"))).drop("parts")
     # the blocks in which a patch that overlaps the tile can start
     over = lambda c, n: F.explode(F.sequence(F.floor((F.col(c) - (size - 1)) / block), F.floor((F.col(c) + F.col(n) - 1) / block)))
     seen = tiles.select("image", "y", "x", "h", "w", "data", over("y", "h").alias("by")).select("*", over("x", "w").alias("bx"))
+    seen = seen.join(crowded, ["image", "by", "bx"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).drop("parts")
     names = ["image", "row_idx", *(["position"] if tokens else []), "vec"]
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -70,7 +76,7 @@ def embed_blocks(patches: DataFrame, tiles: DataFrame, embedder: Embedder, chann
             columns = [pa.array([image] * len(rows), pa.string()), pa.array(rows), pa.array(found, pa.list_(pa.float32()))]
         return pa.table(columns, names=names)
 
-    key = ["image", "by", "bx"]
+    key = ["image", "by", "bx", "part"]
     schema = "image string, row_idx long, " + ("position long, " if tokens else "") + "vec array<float>"
     return own.groupBy(*key).cogroup(seen.groupBy(*key)).applyInArrow(lambda left, right: one(left, right), schema)
 

@@ -53,17 +53,17 @@ def range_of(column: str, cuts: list[float], descending: bool = False) -> Column
     return -n if descending else n
 
 
-def tie_ranges(df: DataFrame, score: str) -> list[tuple[str, Column]]:
-    """Coarse keys for an order by score descending, table_name, row_idx, in which a hot tied score is split.
+def tie_ranges(df: DataFrame, score: str, table: str | None = "table_name", row: str = "row_idx") -> list[tuple[str, Column]]:
+    """Coarse keys for an order by score descending, table, row, in which a hot tied score is split.
 
     Every cut has a range of its own for the rows that equal it; those are told apart further by table and row range.
     """
-    cuts, rows = ranges(df, score), ranges(df, "row_idx")
+    cuts, rows = ranges(df, score), ranges(df, row)
     n = F.lit(0)
     for c in cuts:
         n = n - (F.col(score) >= c).cast("int") - (F.col(score) > c).cast("int")
     tied = n % 2 != 0
-    return [("__range", n), ("__table", F.when(tied, F.col("table_name"))), ("__rows", F.when(tied, range_of("row_idx", rows)))]
+    return [("__range", n), *([("__table", F.when(tied, F.col(table)))] if table else []), ("__rows", F.when(tied, range_of(row, rows)))]
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -151,10 +151,16 @@ def block_order(patches: DataFrame, block_h: int, block_w: int) -> DataFrame:
     return global_number(patches, key, [F.col("row_idx")], "place").withColumn("place", F.col("place") - 1)
 
 
-def drain_order(cells: DataFrame, by: tuple[str, ...] = ("image",)) -> DataFrame:
-    """Active cells (mean, active, place) with ``turn`` from 1: the steepest first, then by place; an image's cells are one group."""
-    order = Window.partitionBy(*by).orderBy(F.col("mean").desc(), "place")
-    return cells.where("active").withColumn("turn", F.row_number().over(order).cast("long"))
+def drain_order(cells: DataFrame, by: str = "image") -> DataFrame:
+    """Active cells (mean, active, place) with ``turn`` from 1 in each image: the steepest first, then by place.
+
+    Images are numbered one after the other by ranges of their means, and each image's first number is taken off.
+    """
+    active = cells.where("active")
+    key = [("__by", F.col(by)), *tie_ranges(active, "mean", None, "place")]
+    ranked = global_number(active, key, [F.col("mean").desc(), F.col("place")], "__turn")
+    first = ranked.groupBy(F.col(by).alias("__by")).agg(F.min("__turn").alias("__first"))
+    return ranked.join(first, F.col(by).eqNullSafe(F.col("__by"))).withColumn("turn", F.col("__turn") - F.col("__first") + 1).drop("__by", "__turn", "__first")
 
 
 def saliency_rows(ranked: DataFrame, maps: int, per_page: int, columns: int, number: str = RANK) -> DataFrame:

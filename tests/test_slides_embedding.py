@@ -28,7 +28,7 @@ def crop(image, x0, y0, x1, y1):
 BOXES = [(0, -5, -7, 11, 9), (1, 20, 20, 36, 36), (2, 85, 60, 101, 76), (3, 400, 400, 416, 416), (4, 31, 31, 39, 40), (5, 20, 20, 36, 36)]
 
 
-def test_embed_blocks(spark, slide):
+def test_embed_blocks(spark, slide, monkeypatch):
     image, tiles = slide
     patches = spark.createDataFrame([("a", *b) for b in BOXES], "image string, row_idx long, xmin long, ymin long, xmax long, ymax long")
     for block in (8, 30, 4096):
@@ -37,6 +37,10 @@ def test_embed_blocks(spark, slide):
         for i, *box in BOXES:
             assert np.allclose(got[i], E.channel_means(crop(image, *box)[None])[0])
     assert E.embed_blocks(patches.limit(0), tiles, E.channel_means, size=16).count() == 0
+    monkeypatch.setattr(E, "MOST_PATCHES", 2)
+    many = spark.createDataFrame([("a", 10 * k + b[0], *b[1:]) for k in range(5) for b in BOXES], patches.schema)
+    crowded = {r.row_idx: r.vec for r in E.embed_blocks(many, tiles, E.channel_means, size=16).collect()}
+    assert len(crowded) == 30 and all(np.allclose(v, got[i % 10]) for i, v in crowded.items())
     with pytest.raises(Exception, match="larger than size"):
         E.embed_blocks(patches, tiles, E.channel_means, size=4).collect()
 
