@@ -719,7 +719,7 @@ def q_axes_to_cyx(spark, d):
     return W.to_cyx(named, "TSYX", {"T": 2, "S": 3})
 
 
-@query("SELECT image, y, x, coalesce(max(score), 0) AS v FROM (SELECT 's' || s AS image, y, x FROM (SELECT unnest(range(3)) AS s), (SELECT unnest(range(20)) AS y), (SELECT unnest(range(30)) AS x)) px LEFT JOIN (SELECT 's' || user_id % 4 AS image, round_even(event_id * 37 % 480 / 16, 0)::BIGINT AS cx, round_even(event_id * 91 % 320 / 16, 0)::BIGINT AS cy, max(value) AS score FROM events WHERE user_id % 4 <> 1 GROUP BY 1, 2, 3) p USING (image) WHERE p.cx IS NULL OR (x >= greatest(cx - 2, 0) AND x < least(cx + 2, 29) AND y >= greatest(cy - 2, 0) AND y < least(cy + 2, 19)) GROUP BY 1, 2, 3 UNION ALL SELECT image, y, x, 0 FROM (SELECT 's' || s AS image, y, x FROM (SELECT unnest(range(3)) AS s), (SELECT unnest(range(20)) AS y), (SELECT unnest(range(30)) AS x)) px WHERE image <> 's1' AND (y = 19 OR x = 29)")
+@query("WITH px AS (SELECT 's' || s AS image, y, x FROM (SELECT unnest(range(3)) AS s), (SELECT unnest(range(20)) AS y), (SELECT unnest(range(30)) AS x)), p AS (SELECT 's' || user_id % 4 AS image, round_even(event_id * 37 % 480 / 16, 0)::BIGINT AS cx, round_even(event_id * 91 % 320 / 16, 0)::BIGINT AS cy, max(value) AS score FROM events WHERE user_id % 4 <> 1 GROUP BY 1, 2, 3) SELECT px.image, px.y, px.x, coalesce(max(score), 0) AS v FROM px LEFT JOIN p ON p.image = px.image AND px.x >= greatest(cx - 2, 0) AND px.x < least(cx + 2, 29) AND px.y >= greatest(cy - 2, 0) AND px.y < least(cy + 2, 19) GROUP BY 1, 2, 3")
 def q_feature_maps(spark, d):
     rows = table(spark, d, "events").where("user_id % 4 <> 1").selectExpr("concat('s', user_id % 4) AS image", "event_id * 37 % 480 AS x", "event_id * 91 % 320 AS y", "value AS score")
     sizes = spark.range(3).selectExpr("concat('s', id) AS image", "20L AS height", "30L AS width")
