@@ -19,6 +19,7 @@ as every row has its own place; an empty table gives no pieces; clashing column
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,7 +36,7 @@ END_ID = 0
 #: Bytes, about, of the chunks kept in a worker; past it the memory is emptied. Longer chunks are not kept.
 CACHE_BYTES, ENTRY_BYTES, LONG_CHUNK = 160 << 20, 200, 200
 #: Chunks with code points below this are classed alike by every Unicode version either library may use.
-SETTLED = 0x0250
+SETTLED = chr(0x0250)
 
 
 class CachedEncoder:
@@ -72,13 +73,14 @@ class CachedEncoder:
 
     def chunk_ids(self, chunk: str) -> bytes | None:
         """None if white space stands next to white space here: then cuts may move."""
-        body = chunk[1:] if chunk.startswith("\n") else chunk
-        if not body or body.strip() != body or body.startswith("\n") or any(c.isspace() for c in body):
+        body = chunk[1:] if chunk[:1] == "\n" else chunk
+        if body.split() != [body]:  # empty, or with white space of any kind
             return None
-        piece = chunk if chunk.startswith("\n") else " " + chunk
-        if max(piece) >= chr(SETTLED):
+        piece = chunk if body is not chunk else " " + chunk
+        if not piece.isascii() and max(piece) >= SETTLED:
             return self.whole(piece)
-        return np.array(self.fast.encode_ordinary(piece), dtype="<u4").tobytes()
+        ids = self.fast.encode_ordinary(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
