@@ -195,6 +195,11 @@ def q_one_hot(spark, d):
     return A.one_hot(table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label")), 4, "kmeans")
 
 
+@query("SELECT vec_id, label::BIGINT AS label, " + ", ".join(f"(label = {i})::BIGINT AS kmeans_label_{i}" for i in range(10)) + " FROM embeddings")
+def q_one_hot_whole(spark, d):
+    return A.one_hot(table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label")), 10, "kmeans")
+
+
 @query("WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), w AS (SELECT vec_id AS feature, i, v FROM x WHERE vec_id < 16), h AS (SELECT x.vec_id AS row_idx, feature, sum(x.v * w.v) AS score FROM x JOIN w USING (i) GROUP BY 1, 2) SELECT row_idx, feature, round(score, 6) AS score FROM h WHERE score > 1e-9")
 def q_sae_forward(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_idx"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -688,7 +693,7 @@ def boxes(spark, d):
     return table(spark, d, "embeddings").selectExpr("concat('s', vec_id % 2) AS image", "vec_id AS row_idx", "vec_id * 37 % 110 - 8 AS xmin", "vec_id * 53 % 85 - 8 AS ymin", "vec_id * 37 % 110 + 8 AS xmax", "vec_id * 53 % 85 + 8 AS ymax")
 
 
-@query(f"WITH {COLOURS}, p AS ({BOXES}), k AS (SELECT unnest(range(3)) AS c), m AS (SELECT p.row_idx, k.c, coalesce(sum(v), 0) / 256.0 AS mean, coalesce(max(v), 0) AS most FROM p CROSS JOIN k LEFT JOIN rgb ON rgb.image = p.image AND rgb.c = k.c AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax GROUP BY 1, 2) SELECT row_idx, c AS i, round(mean, 3) AS v FROM m UNION ALL SELECT row_idx, c + 3, round(most::DOUBLE, 3) FROM m")
+@query(f"WITH {COLOURS}, p AS ({BOXES}), k AS (SELECT unnest(range(3)) AS c), u AS (SELECT DISTINCT image, xmin, ymin, xmax, ymax FROM p), m AS (SELECT u.image, u.xmin, u.ymin, k.c, coalesce(sum(v), 0) / 256.0 AS mean, coalesce(max(v), 0) AS most FROM u CROSS JOIN k LEFT JOIN rgb ON rgb.image = u.image AND rgb.c = k.c AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax GROUP BY ALL) SELECT row_idx, c AS i, round(mean, 3) AS v FROM p JOIN m USING (image, xmin, ymin) UNION ALL SELECT row_idx, c + 3, round(most::DOUBLE, 3) FROM p JOIN m USING (image, xmin, ymin)")
 def q_embed_blocks(spark, d):
     from ..operators import embedding as E
 
