@@ -18,35 +18,93 @@ from . import geometry as G
 from . import raster as R
 
 
+#: Parts of one that coordinates of a triangulation are rounded to.
+SCALE = 1 << 16
+
+
+def curve_order(points: np.ndarray) -> np.ndarray:
+    """Points along a Morton curve: neighbours in the order lie near each other."""
+    low, span = points.min(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-12)
+    cells = np.minimum((points - low) / span * 65536, 65535).astype(np.uint64)
+    key = np.zeros(len(points), dtype=np.uint64)
+    for bit in range(16):
+        key |= (cells[:, 0] >> np.uint64(bit) & np.uint64(1)) << np.uint64(2 * bit) | (cells[:, 1] >> np.uint64(bit) & np.uint64(1)) << np.uint64(2 * bit + 1)
+    return np.argsort(key, kind="stable")
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (indices) of distinct points by incremental insertion."""
+    """Triangles (indices) of distinct points by insertion along a curve.
+
+    Each point is found by a walk from the last triangle, and only the triangles around it are rebuilt. Coordinates are
+    integers of 1 / 65,536, so that sides of lines and circles are exact.
+    """
     n = len(points)
-    span = max(np.ptp(points, axis=0).max(), 1.0) * 1e3
-    mid = points.mean(axis=0)
-    p = np.vstack([points, mid + span * np.array([[-3, -1], [3, -1], [0, 3]])]).astype(float)
-
-    def circle(t: np.ndarray) -> np.ndarray:
-        a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-        d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
-        a2, b2, c2 = ((x**2).sum(axis=1) for x in (a, b, c))
-        x = (a2 * (b[:, 1] - c[:, 1]) + b2 * (c[:, 1] - a[:, 1]) + c2 * (a[:, 1] - b[:, 1])) / d
-        y = (a2 * (c[:, 0] - b[:, 0]) + b2 * (a[:, 0] - c[:, 0]) + c2 * (b[:, 0] - a[:, 0])) / d
-        return np.stack([x, y, (a[:, 0] - x) ** 2 + (a[:, 1] - y) ** 2], axis=1)
-
-    triangles = np.array([[n, n + 1, n + 2]])
-    circles = circle(triangles)
-    for i in range(n):
-        bad = ((circles[:, :2] - p[i]) ** 2).sum(axis=1) < circles[:, 2] * (1 - 1e-12)
-        edges = triangles[bad][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
-        once: dict[tuple[int, int], tuple[int, int]] = {}
-        for a, b in edges.tolist():
-            if once.pop((min(a, b), max(a, b)), None) is None:
-                once[min(a, b), max(a, b)] = (a, b)
-        new = np.array([[a, b, i] for a, b in once.values()]).reshape(-1, 3)
-        area = (p[new[:, 1], 0] - p[new[:, 0], 0]) * (p[i, 1] - p[new[:, 0], 1]) - (p[new[:, 1], 1] - p[new[:, 0], 1]) * (p[i, 0] - p[new[:, 0], 0])
-        new = new[np.abs(area) > 1e-9]
-        triangles, circles = np.vstack([triangles[~bad], new]), np.vstack([circles[~bad], circle(new) if len(new) else np.zeros((0, 3))])
-    return triangles[(triangles < n).all(axis=1)]
+    whole = np.rint(np.asarray(points, dtype=float) * SCALE).astype(np.int64)
+    span = max(int(np.ptp(whole, axis=0).max()), SCALE) * 1000
+    mid = whole.mean(axis=0).astype(np.int64)
+    p = [tuple(v) for v in whole.tolist()] + [(int(mid[0] + dx * span), int(mid[1] + dy * span)) for dx, dy in ((-3, -1), (3, -1), (0, 3))]
+    corners: list = [(n, n + 1, n + 2)]
+    beyond: list = [[-1, -1, -1]]  # across the side that faces each corner
+
+    def side(a: int, b: int, q: tuple) -> int:
+        (ax, ay), (bx, by) = p[a], p[b]
+        return (bx - ax) * (q[1] - ay) - (by - ay) * (q[0] - ax)
+
+    def in_circle(t: int, q: tuple) -> bool:
+        (ax, ay), (bx, by), (cx, cy) = (p[k] for k in corners[t])
+        qx, qy = q
+        ax, ay, bx, by, cx, cy = ax - qx, ay - qy, bx - qx, by - qy, cx - qx, cy - qy
+        return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+
+    at = 0
+    for i in curve_order(whole.astype(float)).tolist():
+        q = p[i]
+        while True:  # a straight walk ends, as the triangles are Delaunay's
+            a, b, c = corners[at]
+            if side(b, c, q) < 0:
+                at = beyond[at][0]
+            elif side(c, a, q) < 0:
+                at = beyond[at][1]
+            elif side(a, b, q) < 0:
+                at = beyond[at][2]
+            else:
+                break
+        hole, stack, edges = {at}, [at], []
+        while stack:
+            t = stack.pop()
+            for k in range(3):
+                o = beyond[t][k]
+                if o in hole:
+                    continue
+                a, b = corners[t][k - 2], corners[t][k - 1]
+                if o >= 0 and (in_circle(o, q) or side(a, b, q) <= 0):
+                    hole.add(o)
+                    stack.append(o)
+                else:
+                    edges.append((a, b, o))
+        edges = [e for e in edges if e[2] not in hole]
+        free = list(hole)
+        made = {}
+        for a, b, o in edges:
+            if free:
+                t = free.pop()
+                corners[t], beyond[t] = (a, b, i), [-1, -1, o]
+            else:
+                t = len(corners)
+                corners.append((a, b, i))
+                beyond.append([-1, -1, o])
+            made[a] = t
+            if o >= 0:
+                for k in range(3):
+                    if corners[o][k] != a and corners[o][k] != b:
+                        beyond[o][k] = t
+        for a, t in made.items():
+            follower = made[corners[t][1]]
+            beyond[t][0] = follower  # across b, i
+            beyond[follower][1] = t  # across i, a of the next
+        at = t
+    found = np.array(corners)
+    return found[(found < n).all(axis=1)]
 
 
 def linear_raster(points: np.ndarray, values: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,26 @@ def test_linear_interpolation_of_a_plane():
     assert np.allclose(out, 2 * xx - yy + 3)
 
 
+def test_triangulation():
+    rng = np.random.default_rng(5)
+    for points in (rng.random((400, 2)) * 90, np.array([(x, y) for x in range(12) for y in range(15)], dtype=float) * 8, np.unique(rng.integers(0, 25, (300, 2)), axis=0) / 4):
+        t = adaptive.delaunay(points)
+        a, b, c = (points[t[:, k]] for k in range(3))
+        area = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
+        assert (area > 0).all() and sorted(set(t.ravel().tolist())) == list(range(len(points)))
+        # no point lies in the circle of a triangle
+        d = 4 * area
+        a2, b2, c2 = ((v**2).sum(axis=1) for v in (a, b, c))
+        x = (a2 * (b - c)[:, 1] + b2 * (c - a)[:, 1] + c2 * (a - b)[:, 1]) / d
+        y = (a2 * (c - b)[:, 0] + b2 * (a - c)[:, 0] + c2 * (b - a)[:, 0]) / d
+        radius = (a[:, 0] - x) ** 2 + (a[:, 1] - y) ** 2
+        assert (((points[None] - np.stack([x, y], axis=1)[:, None]) ** 2).sum(axis=2).min(axis=1) > radius * (1 - 1e-6) - 1e-6).all()
+    assert len(adaptive.delaunay(np.array([[0.0, 0], [1, 1], [2, 2]]))) == 0
+    many = np.unique(rng.integers(0, 3000, (20_000, 2)), axis=0).astype(float)
+    began = time.perf_counter()
+    assert len(adaptive.delaunay(many)) > 1.9 * len(many) and time.perf_counter() - began < 15
+
+
 def test_contours_and_components():
     mask = np.zeros((8, 9), dtype=bool)
     mask[1:6, 1:7] = True
