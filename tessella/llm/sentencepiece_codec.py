@@ -16,6 +16,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -32,7 +33,7 @@ MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks learned together, and bytes, about, of the chunks kept between batches; past them the memory is emptied.
-CACHE_ENTRIES, CACHE_BYTES, ENTRY_BYTES = 400_000, 160 << 20, 300
+LEARNED_AT_ONCE, CACHE_BYTES, ENTRY_BYTES = 200_000, 320 << 20, 300
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -121,7 +122,7 @@ class Model:
 
 
 class Codec:
-    """Batch encoder with memory of chunks; values are (ids as uint32 bytes, parity, round trip)."""
+    """Batch encoder with memory of chunks; texts give (ids as uint32 bytes, parity, round trip)."""
 
     def __init__(self, path: str, threads: int = 2):
         import sentencepiece
@@ -135,7 +136,10 @@ class Codec:
         self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.newline = self.peer.encode("\n")
         self.bare_prefix = self.peer.piece_to_id(MARK)
-        self.memory: dict[str, tuple[bytes, bool, bool]] = {}
+        self.memory: dict[str, bytes] = {}
+        #: Known chunks whose ids aren't the library's, and those that don't decode to themselves.
+        self.unlike: set[str] = set()
+        self.one_way: set[str] = set()
         self.held = 0
 
     def chunks(self, text: str | None) -> list[str]:
@@ -158,39 +162,49 @@ class Codec:
 
     def learn(self, wanted: set[str]) -> None:
         missing = [c for c in wanted if c not in self.memory]
-        if len(self.memory) + len(missing) > CACHE_ENTRIES:
-            self.forget()
-            missing = list(wanted)
         if not missing:
             return
         encoded = [e.ids for e in self.backend.encode_batch_fast(missing, add_special_tokens=False)]
         back = self.backend.decode_batch(encoded, skip_special_tokens=False)
+        lead = " " * self.model.dummy_prefix
         for chunk, ids, peer, text in zip(missing, encoded, self.peer_ids(missing), back):
-            same = text == (chunk.replace(MARK, " ") if self.separable else " " * self.model.dummy_prefix + chunk)
-            self.memory[chunk] = np.array(ids, dtype="<u4").tobytes(), ids == peer, same
+            self.memory[chunk] = struct.pack(f"<{len(ids)}I", *ids)
             self.held += ENTRY_BYTES + 2 * len(chunk) + 4 * len(ids)
+            if ids != peer:
+                self.unlike.add(chunk)
+            if text != (chunk.replace(MARK, " ") if self.separable else lead + chunk):
+                self.one_way.add(chunk)
 
     def forget(self) -> None:
-        self.memory.clear()
+        for known in (self.memory, self.unlike, self.one_way):
+            known.clear()
         self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
         out: list[tuple[bytes, bool, bool]] = []
         cut = [self.chunks(t) for t in texts]
         at = 0
-        while at < len(cut):  # as many texts as fit in memory together; one very long text by itself
-            wanted: set[str] = set()
-            end = at
-            while end < len(cut) and (end == at or len(wanted) < CACHE_ENTRIES // 2):
-                wanted.update(cut[end])
-                end += 1
-            self.learn(wanted)
-            for text, chunks in zip(texts[at:end], cut[at:end]):
-                found = list(map(self.memory.__getitem__, chunks))
-                out.append((b"".join([f[0] for f in found]), all([f[1] for f in found]), all([f[2] for f in found]) and MARK not in (text or "")))
-            at = end
-            if self.held > CACHE_BYTES:
-                self.forget()
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and a full memory is dear to search for them
+        try:
+            while at < len(cut):  # as many texts as fit in memory together; one very long text by itself
+                wanted: set[str] = set()
+                end = at
+                while end < len(cut) and (end == at or len(wanted) < LEARNED_AT_ONCE):
+                    wanted.update(cut[end])
+                    end += 1
+                self.learn(wanted)
+                known = self.memory.__getitem__
+                for text, chunks in zip(texts[at:end], cut[at:end]):
+                    like = not self.unlike or self.unlike.isdisjoint(chunks)
+                    back = (not self.one_way or self.one_way.isdisjoint(chunks)) and MARK not in (text or "")
+                    out.append((b"".join(map(known, chunks)), like, back))
+                at = end
+                if self.held > CACHE_BYTES:
+                    self.forget()
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def decode(self, ids: list[int]) -> str:
